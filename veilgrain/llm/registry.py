@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import decontaminate, exact_dedup
+from veilgrain.llm import bpe, decontaminate, exact_dedup
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
