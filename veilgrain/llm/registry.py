@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import bpe, decontaminate, exact_dedup
+from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
+    "op10_language_id": langid.op10_language_id,
     "op4_bpe": bpe.op4_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
