@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets
+from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secrets.op2_secrets,
     "op10_language_id": langid.op10_language_id,
     "op4_bpe": bpe.op4_bpe,
