@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets, simhash
+from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets, simhash, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secrets.op2_secrets,
     "op10_language_id": langid.op10_language_id,
