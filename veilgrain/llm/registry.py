@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets, simhash, toxicity
+from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secrets.op2_secrets,
