@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, pii, secrets, simhash, toxicity, warc
+from veilgrain.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, secrets, simhash, toxicity, warc
 
 QUERIES = {
+    "op9_licenses": licenses.op9_licenses,
     "op5_pii": pii.op5_pii,
     "op3_warc": warc.op3_warc,
     "op6_toxicity": toxicity.op6_toxicity,
