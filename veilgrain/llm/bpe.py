@@ -177,24 +177,31 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of every row."""
+def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with a column of ids; all other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    out = StructType([docs.schema[id_col], StructField("ids", ArrayType(IntegerType(), False))])
+    out = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False))])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            at = 0
-            for part in _chunks([t or "" for t in batch.column(1).to_pylist()]):
+            done = 0
+            for part in _chunks([t or "" for t in batch.column(at).to_pylist()]):
                 ids = encoder.encode(part)
                 flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids)))
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), column], names=[id_col, "ids"])
-                at += len(part)
+                rows = batch.slice(done, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=out.names)
+                done += len(part)
+
+    return docs.mapInArrow(run, out)
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids) of every row."""
+    return encode_beside(docs.select(id_col, text_col), vocabulary, text_col).select(id_col, "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -14,25 +14,33 @@ all of them exceed the radius. A large bucket is walked by breadth-first
 search that takes what it reaches out of the planes, so a dense group costs
 about one pass and gives one star of links.
 
+Near copies in the sense of a shingle similarity of 0.8 differ in far more bits
+than three, beyond what equal bit blocks can find. ``drop_near_copies`` and
+``similar_components`` therefore use 256-bit fingerprints of five-word shingles
+(the XXH64 mixed three times more), radius ``WIDE_RADIUS``, and take the
+buckets from ``SKETCHES`` min-hashes of the same shingles: two texts of
+similarity 0.8 share none of six with probability 0.2 ** 6. All else is alike.
+
 Buckets that span partitions are finished afterwards: with the components found
 so far (the ten tables deal them differently, so they usually are complete),
 only fingerprints outside the bucket's prevailing component are compared with
 the other parts of the bucket.
 
 Defined cases: lower case is A-Z only; a null, empty or wordless text has
-fingerprint zero and links like any other; fewer words than a shingle are one
+fingerprint zero and links like any other (256 bits: it has no buckets and
+links to nothing); fewer words than a shingle are one
 shingle. A null doc_id never becomes a component id unless all ids of the
 component are null, when it is null. Repeated rows each get a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.llm.common import map_texts, without_ids
@@ -44,6 +52,9 @@ RADIUS = 3
 #: Bit blocks; any two of them must agree: RADIUS differing bits leave at least two untouched.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(BLOCKS, 2)]
+#: 64-bit words, radius and min-hashes of the wide fingerprints. 46 of 256 bits
+#: is an angle of 32 degrees; texts of similarity 0.8 are at 27 degrees or less.
+WIDE, WIDE_RADIUS, SKETCHES = 4, 46, 6
 #: Buckets up to this size are compared pair by pair of neighbours, larger ones by search.
 SMALL = 48
 #: Queries that go against the planes together, and lanes in a block.
@@ -57,13 +68,13 @@ _BYTE = np.arange(8, dtype=np.int64) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Unsigned fingerprint of the ``width``-word shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles in order, repeats included; fewer words are one shingle, none none."""
     from xxhash import xxh64_digest
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
         digests = xxh64_digest(joined, SEED)
@@ -72,53 +83,99 @@ def fingerprint(text: str | None, width: int) -> int:
         starts = np.append(0, ends[:-1] + 1)
         spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
         digests = b"".join([xxh64_digest(joined[s:e], SEED) for s, e in spans])
-    octets = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(digests, dtype=">u8").astype(np.uint64)
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of hashed values (a 64-bit finaliser)."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; zero for none."""
+    if not len(hashes):
+        return 0
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     tally = np.bincount((octets + _BYTE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(tally.ravel() * 2 > len(octets)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """Unsigned 64-bit fingerprint of the ``width``-word shingles."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: str | None, width: int) -> tuple[list[int], list[int]]:
+    """``WIDE`` unsigned words of fingerprint, and ``SKETCHES`` min-hashes (none for no words)."""
+    hashes = shingle_hashes(text, width)
+    words = [majority(mixed(hashes, k) if k else hashes) for k in range(WIDE)]
+    return words, [int(mixed(hashes, 100 + k).min()) for k in range(SKETCHES)] if len(hashes) else []
+
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp: the fingerprint's 64 bits as a signed long) of every row."""
+    return map_texts(docs, id_col, text_col, lambda: lambda text: (_long(fingerprint(text, width)),), "fp long")
+
+
+def wide_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0, f1, ..., sketch: array<long>) of every row."""
 
     def make():
         def one(text):
-            fp = fingerprint(text, width)
-            return (fp - (1 << 64) if fp >> 63 else fp,)
+            words, sketch = wide_fingerprint(text, width)
+            return *map(_long, words), list(map(_long, sketch))
 
         return one
 
-    return map_texts(docs, id_col, text_col, make, "fp long")
+    return map_texts(docs, id_col, text_col, make, ", ".join(f"f{k} long" for k in range(WIDE)) + ", sketch array<long>")
 
 
 # Bit-sliced comparison
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Vertical form of m fingerprints: 64 planes of ceil(m / 64) words."""
-    m = len(fps)
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(m, 8), axis=1, bitorder="little")
-    lanes = np.zeros((64, -(-m // 64) * 64), dtype=np.uint8)
+    """Vertical form of an (m, words) array of fingerprints: 64 planes a word of ceil(m / 64) words each."""
+    m, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(m, 8 * words), axis=1, bitorder="little")
+    lanes = np.zeros((64 * words, -(-m // 64) * 64), dtype=np.uint8)
     lanes[:, :m] = bits.T
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
 
-def over_radius(differences: Iterator[np.ndarray], shape: tuple, radius: int) -> np.ndarray:
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three bits in every lane: sum, carry."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def over_radius(difference: Callable[[int], np.ndarray], planes: int, shape: tuple, radius: int) -> np.ndarray:
     """Lanes (as bits) in which more than ``radius`` of the planes of differences are set.
 
-    Carry-save: counter digit k holds bit k of every lane's count, started so
-    that the last carry falls out at radius + 1; it sticks in ``over``. Once
-    every lane is over, the block is abandoned.
+    Digit k of the counter holds bit k of every lane's count. Four planes at a
+    time go through carry-save adders; what they carry ripples up. The counter
+    starts so that the last carry falls out at radius + 1, and that bit sticks.
+    Once every lane is over, the block is abandoned.
     """
-    digits = (radius + 1).bit_length() if radius + 1 & radius else radius.bit_length()
+    digits = max(2, radius.bit_length())
     start = (1 << digits) - 1 - radius
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     counter = [np.full(shape, full if start >> k & 1 else 0, dtype=np.uint64) for k in range(digits)]
     over = np.zeros(shape, dtype=np.uint64)
-    for n, carry in enumerate(differences):
-        for k in range(digits):
+    for p in range(0, planes, 4):
+        counter[0], low = _add(counter[0], difference(p), difference(p + 1))
+        counter[0], high = _add(counter[0], difference(p + 2), difference(p + 3))
+        counter[1], carry = _add(counter[1], low, high)
+        for k in range(2, digits):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
         over |= carry
-        if n % 8 == 7 and (over == full).all():
+        if p % 16 == 12 and p > radius and (over == full).all():
             break
     return over
 
@@ -126,10 +183,11 @@ def over_radius(differences: Iterator[np.ndarray], shape: tuple, radius: int) ->
 def near(planes: np.ndarray, queries: np.ndarray, lanes: int, radius: int) -> np.ndarray:
     """Boolean (query, lane): within the radius. Planes are taken in blocks of lanes."""
     out = np.empty((len(queries), lanes), dtype=bool)
+    count = len(planes)
+    flips = [(np.uint64(0) - (queries[:, p >> 6] >> np.uint64(p & 63) & np.uint64(1)))[:, None] for p in range(count)]
     for at in range(0, planes.shape[1], LANES // 64):
         block = planes[:, at : at + LANES // 64]
-        flips = [(np.uint64(0) - (queries >> np.uint64(p) & np.uint64(1)))[:, None] for p in range(64)]
-        over = over_radius((block[p] ^ flips[p] for p in range(64)), (len(queries), block.shape[1]), radius)
+        over = over_radius(lambda p, block=block: block[p] ^ flips[p], count, (len(queries), block.shape[1]), radius)
         inside = np.unpackbits((~over).astype("<u8").view(np.uint8), axis=1, bitorder="little")
         width = min(lanes - at * 64, block.shape[1] * 64)
         out[:, at * 64 : at * 64 + width] = inside[:, :width]
@@ -142,189 +200,194 @@ def small_links(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
     index = np.arange(len(fps))
     lag = 1
     while len(at := index[:-lag][bucket[lag:] == bucket[:-lag]] if lag < len(index) else index[:0]):
-        xor = fps[at] ^ fps[at + lag]
-        planes = planes_of(xor)
-        over = over_radius(iter(planes), planes.shape[1:], radius)
-        inside = np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(at)].astype(bool)
-        left.append(at[inside])
-        right.append(at[inside] + lag)
+        for some in np.array_split(at, -(-len(at) // LANES)):
+            planes = planes_of(fps[some] ^ fps[some + lag])
+            over = over_radius(planes.__getitem__, len(planes), planes.shape[1:], radius)
+            inside = some[np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(some)].astype(bool)]
+            left.append(inside)
+            right.append(inside + lag)
         lag += 1
     return (np.concatenate(left), np.concatenate(right)) if left else (index[:0], index[:0])
 
 
 def search_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (member, first reached) of the components of one large bucket."""
+    """Star links (member, first reached) of the components of one large bucket.
+
+    Seeds are asked many at a time. Each that has not been reached meanwhile
+    starts a breadth-first search of its whole component from what it hit; what
+    is reached once is no longer a target, so a dense group costs about one pass.
+    """
     rest = np.arange(len(fps))
-    planes = planes_of(fps)
-    stale = 0
-    gone = np.zeros(len(fps), dtype=bool)  # by position in rest
+    planes, gone = planes_of(fps), np.zeros(len(fps), dtype=bool)  # lanes are positions in rest
     left, right = [], []
-    at = 0
-    while at < len(rest):
-        if gone[at]:
-            at += 1
-            continue
-        centre = rest[at]
-        gone[at] = True
-        stale += 1
-        frontier = [int(centre)]
-        while frontier:
-            some, frontier = np.array(frontier[:QUERIES]), frontier[QUERIES:]
-            reached = near(planes, fps[some], len(rest), radius).any(axis=0) & ~gone
-            found = rest[reached]
-            gone |= reached
-            stale += len(found)
-            frontier += found.tolist()
-            left.append(found)
-            right.append(np.full(len(found), centre))
-            if stale > max(1024, len(rest) // 2):  # take what has been reached out of the planes
-                ahead = int((~gone[:at]).sum())
-                rest = rest[~gone]
-                planes, gone, stale, at = planes_of(fps[rest]), np.zeros(len(rest), dtype=bool), 0, ahead
+
+    while not gone.all():
+        seeds = np.flatnonzero(~gone)[:QUERIES]
+        hits = near(planes, fps[rest[seeds]], len(rest), radius) & ~gone
+        hits[np.arange(len(seeds)), seeds] = False
+        for seed, hit in zip(seeds, hits, strict=True):
+            if gone[seed]:
+                continue
+            gone[seed] = True
+            centre, reached = rest[seed], hit & ~gone
+            frontier: list[int] = []
+            while True:
+                gone |= reached
+                found = rest[reached]
+                frontier += found.tolist()
+                left.append(found)
+                right.append(np.full(len(found), centre))
+                if not frontier:
+                    break
+                some, frontier = np.array(frontier[:QUERIES]), frontier[QUERIES:]
+                reached = near(planes, fps[some], len(rest), radius).any(axis=0) & ~gone
+        if gone.sum() > max(1024, len(rest) // 2):  # take what has been reached out of the planes
+            rest = rest[~gone]
+            planes, gone = planes_of(fps[rest]), np.zeros(len(rest), dtype=bool)
     return (np.concatenate(left), np.concatenate(right)) if left else (rest[:0], rest[:0])
 
 
 # Distribution
 
 
-def _tables(fps: DataFrame) -> DataFrame:
-    """(t, key, fp, node) ten times for each fingerprint."""
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("key")) for t, m in enumerate(TABLES)]))
-    return fps.select(keys.alias("k"), "fp", "node").select("k.t", "k.key", "fp", "node")
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def _dealt(t: Column, fp: Column) -> Column:
-    return F.xxhash64(t, fp)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted partition: its links (kind 0: a, b), and the rows of its first and last bucket (kind 1)."""
-    names = ["kind", "t", "a", "b", "part"]
-    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.concat_tables(parts)
-    t, key, fp, node = (table.column(c).to_numpy() for c in ("t", "key", "fp", "node"))
-    fps = fp.view(np.uint64)
-    fresh = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-    bucket = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(t))))
-    sizes = np.diff(np.append(fresh, len(t)))
-    some = (sizes[bucket] > 1) & (sizes[bucket] <= SMALL)
-    at = np.flatnonzero(some)
-    i, j = small_links(bucket[at], fps[at], RADIUS)
-    links = [(at[i], at[j])]
-    for k in np.flatnonzero(sizes > SMALL):
-        i, j = search_links(fps[fresh[k] : fresh[k] + sizes[k]], RADIUS)
-        links.append((i + fresh[k], j + fresh[k]))
-    i, j = (np.concatenate([x[s] for x in links]) for s in (0, 1))
-    edge = np.flatnonzero((bucket == 0) | (bucket == bucket[-1]))
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    columns = [
-        np.r_[np.zeros(len(i), np.int32), np.ones(len(edge), np.int32)],
-        np.r_[np.zeros(len(i), np.int32), t[edge]],
-        np.r_[node[i], node[edge]],
-        np.r_[node[j], fp[edge]],
-        np.r_[np.zeros(len(i), np.int32), np.full(len(edge), part, np.int32)],
-    ]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-
-def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between a packed part of stragglers and one of all rows of its bucket, labels differing."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            asked, others = (np.frombuffer(row[c], dtype="<i8").reshape(-1, 3) for c in ("asked", "others"))
-            planes = planes_of(others[:, 0].view(np.uint64).copy())
-            for at in range(0, len(asked), QUERIES):
-                some = asked[at : at + QUERIES]
-                hit = near(planes, some[:, 0].copy().view(np.uint64), len(others), RADIUS)
-                hit &= some[:, 2][:, None] != others[:, 2][None, :]
-                q, o = np.nonzero(hit)
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(some[q, 1]), pa.array(others[o, 1])], names=["a", "b"])
-
-
-def _packed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows of (fp, node, label) in binary parts of about PART rows, by ``keys``."""
+def _comparer(words: int, radius: int) -> Callable:
+    """For one sorted partition of (t, key, node, f0, ...): its links, and the rows of its first and last bucket."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        t, key, node = (table.column(c).to_numpy() for c in ("t", "key", "node"))
+        fps = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        fresh = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
+        sizes = np.diff(np.append(fresh, len(t)))
+        bucket = np.repeat(np.arange(len(fresh)), sizes)
+        at = np.flatnonzero((sizes[bucket] > 1) & (sizes[bucket] <= SMALL))
+        i, j = small_links(bucket[at], fps[at], radius)
+        links = [(at[i], at[j])]
+        for k in np.flatnonzero(sizes > SMALL):
+            i, j = search_links(fps[fresh[k] : fresh[k] + sizes[k]], radius)
+            links.append((i + fresh[k], j + fresh[k]))
+        i, j = (np.concatenate([x[side] for x in links]) for side in (0, 1))
+        i, j = i[node[i] != node[j]], j[node[i] != node[j]]
+        edge = np.flatnonzero((bucket == 0) | (bucket == bucket[-1]))
+        n, e = len(i), len(edge)
+
+        def column(of_links, of_edge, kind) -> pa.Array:
+            first = pa.nulls(n, kind) if of_links is None else pa.array(of_links, kind)
+            second = pa.nulls(e, kind) if of_edge is None else pa.array(of_edge, kind)
+            return pa.concat_arrays([first, second])
+
+        part = np.full(e, TaskContext.get().partitionId())
+        columns = [column(node[i], node[edge], pa.int64()), column(node[j], None, pa.int64()), column(None, t[edge], pa.int32()), column(None, key[edge], pa.int64()), column(None, part, pa.int32())]
+        columns += [column(None, fps[edge, k].view(np.int64), pa.int64()) for k in range(words)]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "b", "t", "key", "part", *names])
+
+    return run
+
+
+def _cross_links(words: int, radius: int) -> Callable:
+    """Links between a packed part of stragglers and another part of their bucket, where labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked, others = (np.frombuffer(row[c], dtype="<i8").reshape(-1, 2 + words) for c in ("asked", "others"))
+                planes = planes_of(others[:, 2:])
+                for at in range(0, len(asked), QUERIES):
+                    some = asked[at : at + QUERIES]
+                    hit = near(planes, np.ascontiguousarray(some[:, 2:]).view(np.uint64), len(others), radius)
+                    q, o = np.nonzero(hit & (some[:, 1][:, None] != others[:, 1][None, :]))
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(some[q, 0]), pa.array(others[o, 0])], names=["a", "b"])
+
+    return run
+
+
+def _packed(rows: DataFrame, words: int, name: str) -> DataFrame:
+    """Rows of (node, label, f0, ...) as binary parts of at most PART rows by (t, key, part), sorted by these."""
+    keys, body = ["t", "key", "part"], ["node", "label", *(f"f{k}" for k in range(words))]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in (*keys, "fp", "node", "label")]
-            own = np.stack(columns[: len(keys)], axis=1)
-            cuts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)]).tolist() + [len(own)]
-            body = np.stack(columns[len(keys) :], axis=1).astype("<i8")
-            spans = [(s, min(s + PART, e)) for a, e in zip(cuts, cuts[1:]) for s in range(a, e, PART)]
+            own = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            cuts = [*np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)]).tolist(), len(own)]
+            data = np.stack([batch.column(c).to_numpy() for c in body], axis=1).astype("<i8")
+            spans = [(s, min(s + PART, e)) for a, e in zip(cuts, cuts[1:], strict=False) for s in range(a, e, PART)]
             arrays = [pa.array([own[s, k] for s, _ in spans], pa.int64()) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([body[s:e].tobytes() for s, e in spans], pa.binary())], names=[*keys, name])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([data[s:e].tobytes() for s, e in spans], pa.binary())], names=[*keys, name])
 
-    schema = ", ".join(f"{k} long" for k in keys) + f", {name} binary"
     cast = [F.col(k).cast("long").alias(k) for k in keys]
-    return rows.select(*cast, "fp", "node", "label").mapInArrow(pack, schema)
+    return rows.select(*cast, *body).mapInArrow(pack, f"t long, key long, part long, {name} binary")
 
 
-def _finish_spanning(edge_rows: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame | None:
-    """Links that buckets cut by a partition boundary still lack; None if there are no such buckets."""
-    spanning = edge_rows.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    rows = edge_rows.join(spanning.select("t", "key"), ["t", "key"])
-    labels = connected_components(links, ws, "first")
-    rows = rows.join(labels.withColumnRenamed("root", "label"), "node", "left")
-    rows = ws.write(rows.select("t", "key", "part", "fp", "node", F.coalesce("label", "node").alias("label")), "spanning")
+def _finish_spanning(edge_rows: DataFrame, links: DataFrame, words: int, radius: int, ws: Workspace) -> DataFrame | None:
+    """Links that buckets cut by a partition boundary still lack; None if there can be none."""
+    spanning = edge_rows.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("t", "key")
+    labels = connected_components(links, ws, "first").withColumnRenamed("root", "label")
+    rows = edge_rows.join(spanning, ["t", "key"]).join(labels, "node", "left")
+    fields = [f"f{k}" for k in range(words)]
+    rows = ws.write(rows.select("t", "key", "part", "node", F.coalesce("label", "node").alias("label"), *fields), "spanning")
     sizes = rows.groupBy("t", "key", "label").count()
     main = sizes.groupBy("t", "key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
-    open_ = ws.write(main.filter("n > 1"), "open")
-    if not open_.limit(1).count():
+    unsettled = ws.write(main.filter("n > 1").select("t", "key", "main"), "unsettled")
+    if not unsettled.limit(1).count():
         return None
-    rows = rows.join(open_.select("t", "key", "main"), ["t", "key"])
-    # A part is what one partition had of a bucket, so packing needs no shuffle by bucket.
-    spread = rows.repartition(F.col("t"), F.col("key"), F.col("part"))
-    asked = _packed(spread.filter("label <> main").sortWithinPartitions("t", "key", "part"), ["t", "key", "part"], "asked")
-    others = _packed(spread.sortWithinPartitions("t", "key", "part"), ["t", "key", "part"], "others")
-    others = others.withColumnRenamed("part", "other_part")
+    # One partition's share of a bucket stays one part, so no bucket is gathered in a task.
+    spread = rows.join(unsettled, ["t", "key"]).repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
+    asked = _packed(spread.filter("label <> main"), words, "asked")
+    others = _packed(spread, words, "others").withColumnRenamed("part", "other_part")
     pairs = asked.join(others, ["t", "key"]).filter("part <> other_part").select("asked", "others")
-    return pairs.repartition(F.xxhash64("asked", "others")).mapInArrow(_cross_links, "a long, b long")
-
-
-def link_components(found: DataFrame, ws: Workspace, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``found``, a stored table of (id, fp)."""
-    fps = found.groupBy("fp").agg(F.min(id_col).alias("least"))
-    # Nodes need ids of their own even where doc ids are null; a fingerprint is one.
-    fps = ws.write(fps, "fps")
-    rows = _tables(fps.select("fp", F.col("fp").alias("node")))
-    n = max(found.sparkSession.sparkContext.defaultParallelism, fps.count() * len(TABLES) // ROWS_PER_PARTITION)
-    dealt = rows.repartitionByRange(n, "t", "key", _dealt(F.col("t"), F.col("fp")))
-    dealt = dealt.sortWithinPartitions("t", "key", _dealt(F.col("t"), F.col("fp")))
-    compared = ws.write(dealt.mapInArrow(_compare, "kind int, t int, a long, b long, part int"), "compared")
-    links = compared.filter("kind = 0").select("a", "b")
-    mask = F.lit(0).cast("long")
-    for t, m in enumerate(TABLES):
-        mask = F.when(F.col("t") == t, F.lit(_signed(m))).otherwise(mask)
-    edge_rows = compared.filter("kind = 1").select("t", F.col("b").bitwiseAND(mask).alias("key"), "part", F.col("b").alias("fp"), F.col("a").alias("node"))
-    more = _finish_spanning(edge_rows, links, ws)
+    return pairs.repartition(F.xxhash64("asked", "others")).mapInArrow(_cross_links(words, radius), "a long, b long")
+
+
+def components_of(rows: DataFrame, nodes: int, words: int, radius: int, ws: Workspace) -> DataFrame:
+    """(node, root) of all nodes with links. ``rows``: (t, key, node, f0, ...), about as many as ``nodes`` says."""
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, nodes // ROWS_PER_PARTITION)
+    within = F.xxhash64("t", "node")
+    dealt = rows.repartitionByRange(n, "t", "key", within).sortWithinPartitions("t", "key", within)
+    fields = ", ".join(f"f{k} long" for k in range(words))
+    compared = dealt.mapInArrow(_comparer(words, radius), f"node long, b long, t int, key long, part int, {fields}")
+    compared = ws.write(compared, "compared")
+    links = compared.filter("b IS NOT NULL").select(F.col("node").alias("a"), "b")
+    more = _finish_spanning(compared.filter("b IS NULL").drop("b"), links, words, radius, ws)
     if more is not None:
         links = links.unionByName(ws.write(more, "cross"))
-    roots = connected_components(links, ws, "all")
+    return connected_components(links, ws, "all")
+
+
+def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) of every row; component_id is the smallest id its 64-bit fingerprint reaches by links."""
+    found = ws.write(fingerprints(docs, width, id_col, text_col), "found")
+    # Equal fingerprints are one node. Nodes need ids even where doc ids are null: the fingerprint itself.
+    fps = ws.write(found.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for t, m in enumerate(TABLES)]))
+    rows = fps.select(keys.alias("k"), "fp").select("k.t", "k.key", F.col("fp").alias("node"), F.col("fp").alias("f0"))
+    roots = components_of(rows, fps.count() * len(TABLES), 1, RADIUS, ws)
     joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = ws.write(joined, "rooted")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return ws.write(joined.join(least, "root").select("fp", "component_id"), "components")
+    components = ws.write(joined.join(least, "root").select("fp", "component_id"), "components")
+    return found.join(components, "fp").select(id_col, "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; component_id is the smallest id its fingerprint reaches by links."""
-    found = ws.write(fingerprints(docs, width, id_col, text_col), "found")
-    components = link_components(found, ws, id_col)
-    return found.join(components, "fp").select(id_col, "fp", "component_id")
+def similar_components(docs: DataFrame, ws: Workspace, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of the documents that are near copies of another by the wide fingerprint; the least id names them."""
+    found = ws.write(wide_fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col), "wide")
+    fields = [f"f{k}" for k in range(WIDE)]
+    rows = found.select(F.posexplode("sketch").alias("t", "key"), F.col(id_col).cast("long").alias("node"), *fields)
+    roots = components_of(rows, found.count() * SKETCHES, WIDE, WIDE_RADIUS, ws)
+    return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, ws: Workspace, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, columns unchanged; rows with a null id stay."""
-    groups = near_duplicates(docs, ws, width, id_col, text_col)
+    """One document of each group of near copies, that with the smallest id; columns unchanged, rows with a null id stay."""
+    groups = similar_components(docs, ws, width, id_col, text_col)
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col)
     return without_ids(docs, gone, id_col, ws, "near_gone")
 
