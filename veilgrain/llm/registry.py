@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }

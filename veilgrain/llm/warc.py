@@ -201,3 +201,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(read_table(spark, sf_dir, "pages"), folder, ws)
     found = read_records(index, folder, with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_PAYLOAD = "coalesce(html, '')"
+_FIVE_BITS = "CAST('0x' || substr(sha1(p), (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4)) & 31"
+ORACLE = f"""
+WITH t AS (SELECT page_id, {_PAYLOAD} AS p, max(page_id) OVER (PARTITION BY {_PAYLOAD}) AS keep FROM pages)
+SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({_FIVE_BITS}) + 1 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep OR keep IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep OR keep IS NULL THEN NULL ELSE keep END AS refers_to
+FROM t
+"""
