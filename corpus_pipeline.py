@@ -38,8 +38,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of every whole text and digests of ids and of the text decoded from them."""
+    """Adds the ids of every whole text and a digest of the text decoded from them; columns of these names are replaced."""
     ensure_importable(spark)
+    docs = docs.drop("ids", "n_tokens", "decoded", "decoded_sha256")
     vocabulary = bpe.Vocabulary.load(bpe.default_path())
     ids = bpe.encode_beside(docs, vocabulary)
     decoded = bpe.decode(ids, vocabulary)

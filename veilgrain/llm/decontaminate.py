@@ -122,7 +122,7 @@ def original_spans(text: str, found: list[tuple[int, int, object]]) -> list[tupl
         start = folded.index(w, at)
         at = start + len(w)
         bounds.append((start, at))
-    point = [0, *accumulate((b & 0xC0) != 0x80 for b in raw)]
+    point = [0, *accumulate(int((b & 0xC0) != 0x80) for b in raw)]
     return [(point[bounds[s][0]], point[bounds[e - 1][1]], i) for s, e, i in found]
 
 

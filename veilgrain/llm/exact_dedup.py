@@ -16,6 +16,8 @@ columns are ignored; they never reach the index.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,13 +116,14 @@ def drop_copies(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col
     nulls = fate.filter("doc_id IS NULL").limit(1).count()
     if not mixed.limit(1).count() and not nulls:
         return plain
-    whole = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    again = whole.join(mixed, whole[id_col] == mixed["doc_id"], "left_semi").dropDuplicates([id_col, "_digest"]).drop("_digest")
+    mark = f"_digest_{uuid.uuid4().hex}"  # a name that no column of the documents has
+    whole = docs.withColumn(mark, F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    again = whole.join(mixed.withColumnRenamed("doc_id", "_mixed"), whole[id_col] == F.col("_mixed"), "left_semi").dropDuplicates([id_col, mark]).drop(mark)
     some = plain.filter(F.col(id_col).isNotNull()).unionByName(again)
     if nulls:  # a row without an id stays if no row with an id has its text
-        named = whole.filter(F.col(id_col).isNotNull()).select(F.col("_digest").alias("_named"))
-        rest = whole.filter(F.col(id_col).isNull()).dropDuplicates(["_digest"])
-        some = some.unionByName(rest.join(named, rest["_digest"] == named["_named"], "left_anti").drop("_digest"))
+        named = whole.filter(F.col(id_col).isNotNull()).select(F.col(mark).alias("_named"))
+        rest = whole.filter(F.col(id_col).isNull()).dropDuplicates([mark])
+        some = some.unionByName(rest.join(named, rest[mark] == named["_named"], "left_anti").drop(mark))
     return some
 
 
