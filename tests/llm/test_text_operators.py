@@ -35,13 +35,13 @@ def library():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="ab '\n\tsrédl019!<|endoftext>漢🙂\x1c\x85", max_size=60)), max_size=5))
 def test_bpe_equals_library(vocabulary, library, texts):
-    ours = bpe.Encoder(vocabulary).encode(texts)
+    ours = [i.tolist() for i in bpe.Encoder(vocabulary).encode(texts)]
     assert ours == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("text", ["a" * 20_000, "ab" * 5_000, "<|endoftext|>" * 3 + " x", "!" * 999, " \n " * 200, "xyzzy " * 3_000])
 def test_bpe_odd_texts(vocabulary, library, text):
-    assert bpe.Encoder(vocabulary).encode([text])[0] == library.encode(text, add_special_tokens=False).ids
+    assert bpe.Encoder(vocabulary).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_query_round_trip(spark, sf, library):

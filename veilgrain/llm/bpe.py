@@ -31,10 +31,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from veilgrain.workspace import read_table
 
 #: Words that a Python worker keeps encoded, and the longest one it keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 LONG_WORD = 64
 #: Characters of text that go through the merge rounds together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 # The word pattern of byte-level BPE.
 WORD = (
@@ -99,9 +99,9 @@ class Vocabulary:
             {t["content"]: t["id"] for t in added},
         )
 
-    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of non-empty words, all merged together."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of non-empty words, all merged together, each as little-endian 32-bit numbers."""
+        out = [b""] * len(words)
         symbol = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         none = np.iinfo(np.int64).max
@@ -114,8 +114,9 @@ class Vocabulary:
             lowest = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(word)))
             if (done := lowest == none).any():
-                for s, n in zip(starts[done].tolist(), sizes[done].tolist(), strict=True):
-                    out[word[s]] = tuple(symbol[s : s + n].tolist())
+                raw = symbol.astype("<i4").tobytes()
+                for w, s, n in zip(word[starts[done]].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[w] = raw[4 * s : 4 * (s + n)]
             stay = np.repeat(~done, sizes)
             chosen = np.flatnonzero((rank == np.repeat(lowest, sizes)) & stay)
             # Of overlapping occurrences (a run of one symbol), every other one counts.
@@ -133,7 +134,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     @cached_property
     def _patterns(self):
@@ -150,31 +151,30 @@ class Encoder:
         parts = special.split(text)
         return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else word(part))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [self._words(t) for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         if not self.cache:
-            self.cache.update({s: (i,) for s, i in self.vocabulary.special.items()})
+            self.cache.update({s: i.to_bytes(4, "little") for s, i in self.vocabulary.special.items()})
         new = [w for w in set(chain.from_iterable(words)) if w not in self.cache]
         self.cache.update(zip(new, self.vocabulary.merge([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-        ids = [list(chain.from_iterable(map(self.cache.__getitem__, own))) for own in words]
+        ids = [np.frombuffer(b"".join(map(self.cache.__getitem__, own)), dtype="<i4") for own in words]
         for w in new:
             if len(w) > LONG_WORD:
                 del self.cache[w]
         return ids
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of a batch and their texts (column ``at``), about ``CHUNK_CHARS`` characters at a time."""
+    texts, size, start = [], 0, 0
+    for k, value in enumerate(batch.column(at)):
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= CHUNK_CHARS or k == batch.num_rows - 1:
+            yield batch.slice(start, len(texts)), texts
+            texts, size, start = [], 0, k + 1
 
 
 def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -186,15 +186,11 @@ def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            done = 0
-            for part in _chunks([t or "" for t in batch.column(at).to_pylist()]):
-                ids = encoder.encode(part)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids)))
+            for rows, texts in _chunks(batch, at):
+                ids = encoder.encode(texts)
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                rows = batch.slice(done, len(part))
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*rows.columns, column], names=out.names)
-                done += len(part)
 
     return docs.mapInArrow(run, out)
 
@@ -213,7 +209,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.tokens.__getitem__
         for batch in batches:
-            texts = [b"".join(map(token, i.as_py() or ())).decode("utf-8", "replace") for i in batch.column(at)]
+            texts = []
+            for ids in batch.column(at):
+                found = ids.values.to_numpy().tolist() if ids.is_valid else ()
+                texts.append(b"".join(map(token, found)).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=out.names)
 
     return encoded.mapInArrow(run, out)
