@@ -67,8 +67,18 @@ class Workspace:
             pass
 
 
+#: Arrow batches of whole texts; Spark's own limits (64 MB, 10,000 rows) cost each Python worker several times that.
+BATCH_BYTES, BATCH_ROWS = "8m", 2000
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package, as a submitted job does with --py-files."""
+    """Let Python workers import this package, as a submitted job does with --py-files, and keep their batches small."""
+    for key, default, value in (
+        ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m"), BATCH_BYTES),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), BATCH_ROWS),
+    ):
+        if spark.conf.get(key) in default:  # a limit that somebody has set stays
+            spark.conf.set(key, value)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in have:
