@@ -274,7 +274,7 @@ class PrivateTextEngine:
         described = ws.write(described, "descriptors")
         todo = described if commits is None else batching.pending(described, commits)
         vocab = ws.write(vocabulary(public_texts, self.vocab_size), "vocabulary")
-        logits = public_logits(bigrams(public_texts, vocab), self.vocab_size, self.alpha)
+        logits = public_logits(bigrams(public_texts, vocab), vocab.count(), self.alpha)  # a small corpus may have fewer words
         made = generate_dataset(bucketed, todo, vocab, logits, self.settings, self.beta)
         made = ws.write(made, "synthetic")
         fields = ["batch_id", "batch_index", "total_batches", "label", "label_name", F.col("batch_size").alias("source_batch_size")]
