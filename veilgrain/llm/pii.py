@@ -58,6 +58,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every match has in it somewhere; far cheaper to look for in a text without any.
+_TITLES = "|".join((MALE, FEMALE, NEUTRAL)).split("|")
+HINT = rf"[0-9@]|(?<!\p{{L}})[{''.join(sorted({t[0] for t in _TITLES}))}][\p{{L}}-]{{1,{max(map(len, _TITLES)) - 1}}}\.? \p{{Lu}}"
 _DIGIT_TYPES = ("phone", "card", "ssn")
 
 
@@ -206,7 +209,8 @@ def replacements(surfaces: DataFrame, key: str, ws: Workspace) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text with replacements, entities: array of type, start, end, replacement in code points of the given text)."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    found = rows.withColumn("mentions", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    mentions = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = rows.withColumn("mentions", F.coalesce(mentions, F.array().cast("array<string>")))
     entity = "array<struct<type:string,start:long,end:long,replacement:string>>"
     clean = found.filter(F.size("mentions") == 0).select(id_col, "text", F.array().cast(entity).alias("entities"))
     hit = ws.write(found.filter(F.size("mentions") > 0).withColumn("row_no", F.monotonically_increasing_id()), "hit")
