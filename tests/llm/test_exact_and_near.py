@@ -102,7 +102,7 @@ def clusters(n, centres, flips, words, seed=1):
     return out
 
 
-@pytest.mark.parametrize(("words", "radius", "flips"), [(1, 3, 5), (1, 0, 2), (1, 6, 9), (4, 46, 40)])
+@pytest.mark.parametrize(("words", "radius", "flips"), [(1, 3, 5), (1, 0, 2), (1, 6, 9), (4, 48, 40)])
 @pytest.mark.parametrize("centres", [1, 4, 300])
 def test_bit_sliced_search(words, radius, flips, centres):
     fps = clusters(400, centres, flips, words)

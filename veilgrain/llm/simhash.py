@@ -52,9 +52,9 @@ RADIUS = 3
 #: Bit blocks; any two of them must agree: RADIUS differing bits leave at least two untouched.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(BLOCKS, 2)]
-#: 64-bit words, radius and min-hashes of the wide fingerprints. 46 of 256 bits
-#: is an angle of 32 degrees; texts of similarity 0.8 are at 27 degrees or less.
-WIDE, WIDE_RADIUS, SKETCHES = 4, 46, 6
+#: 64-bit words, radius and min-hashes of the wide fingerprints. 48 of 256 bits
+#: is an angle of 34 degrees; texts of similarity 0.8 are at 27 degrees or less.
+WIDE, WIDE_RADIUS, SKETCHES = 4, 48, 6
 #: Buckets up to this size are compared pair by pair of neighbours, larger ones by search.
 SMALL = 48
 #: Queries that go against the planes together, and lanes in a block.
