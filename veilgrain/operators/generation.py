@@ -261,15 +261,16 @@ def generate_dataset(
 class PrivateTextEngine:
     """Facade: examples in, synthetic examples and their guarantee out."""
 
-    def __init__(self, dataset: str, settings: Settings, vocab_size: int = 64, alpha: float = 0.5, beta: float = 2.0):
-        self.dataset, self.settings = dataset, settings
+    def __init__(self, dataset: str, settings: Settings, vocab_size: int = 64, alpha: float = 0.5, beta: float = 2.0, policy=None):
+        """``policy``: a ``BatchingPolicy`` in place of hash batches of the settings' size."""
+        self.dataset, self.settings, self.policy = dataset, settings, policy
         self.vocab_size, self.alpha, self.beta = vocab_size, alpha, beta
 
     def generate(self, examples: DataFrame, public_texts: DataFrame, ws, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(synthetic examples, descriptors); committed batches are skipped, indices stay those of the whole run."""
         from veilgrain.operators import batching
 
-        bucketed = batching.assign_buckets(examples, self.settings.batch_size)
+        bucketed = self.policy(examples) if self.policy else batching.assign_buckets(examples, self.settings.batch_size)
         described = batching.describe_batches(batching.batch_table(bucketed, self.dataset), self.dataset, ws)
         described = ws.write(described, "descriptors")
         todo = described if commits is None else batching.pending(described, commits)
@@ -286,4 +287,4 @@ class PrivateTextEngine:
         return epsilon_value(worst * self.settings.rho, delta)
 
     def with_settings(self, **changes) -> PrivateTextEngine:
-        return PrivateTextEngine(self.dataset, replace(self.settings, **changes), self.vocab_size, self.alpha, self.beta)
+        return PrivateTextEngine(self.dataset, replace(self.settings, **changes), self.vocab_size, self.alpha, self.beta, self.policy)
