@@ -175,6 +175,42 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert {r["doc_id"] for r in kept.collect()} == expected | {None, 900, 901, 902}
 
 
+def brute_components(rows, width=5):
+    """Least id of the component of each document under exact shingle similarity of 0.8, components of one left out."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = union_find(len(rows), pairs)
+    least, size = {}, {}
+    for root, (i, _) in zip(roots, rows):
+        least[root], size[root] = min(least.get(root, i), i), size.get(root, 0) + 1
+    return {i: least[root] for root, (i, _) in zip(roots, rows) if size[root] > 1}
+
+
+@pytest.mark.parametrize("per_partition", [16 << 20, 4000])
+def test_near_copies_are_those_of_similarity_four_fifths(spark, monkeypatch, per_partition):
+    """Copies with few to many replaced words, similarity 0.5 to 1: exactly the brute-force components, also in tiny partitions."""
+    monkeypatch.setattr(simhash, "SET_BYTES", per_partition)
+    monkeypatch.setattr(simhash, "SET_PART", per_partition // 4)
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(3000)]
+    rows = []
+    for i in range(30):
+        text = [rng.choice(words) for _ in range(150)]
+        rows.append((i, " ".join(text)))
+        for copy in range(30 if i == 0 else 3):
+            other = list(text)
+            for k in rng.sample(range(150), rng.randrange(1, 9)):
+                other[k] = rng.choice(words)
+            rows.append((100 * (i + 1) + copy, " ".join(other)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs_of(spark, rows), Workspace(spark, "t")).collect()}
+    expected = brute_components(rows)
+    assert 20 < len(expected) < len(rows)
+    assert found == expected
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]

@@ -19,7 +19,10 @@ than three, beyond what equal bit blocks can find. ``drop_near_copies`` and
 ``similar_components`` therefore use 256-bit fingerprints of five-word shingles
 (the XXH64 mixed three times more), radius ``WIDE_RADIUS``, and take the
 buckets from ``SKETCHES`` min-hashes of the same shingles: two texts of
-similarity 0.8 share none of six with probability 0.2 ** 6. All else is alike.
+similarity 0.8 share none of six with probability 0.2 ** 6. The components so
+found are only groups of candidates; inside each, two documents are linked if
+the exact similarity of their sets of shingles (64-bit hashes) is ``SIMILAR``
+or more.
 
 Buckets that span partitions are finished afterwards: with the components found
 so far (the ten tables deal them differently, so they usually are complete),
@@ -43,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrain.llm.common import map_texts, without_ids
+from veilgrain.llm.common import BROADCAST_IDS, map_texts, without_ids
 from veilgrain.llm.components import connected_components
 from veilgrain.workspace import Workspace, read_table
 
@@ -52,9 +55,13 @@ RADIUS = 3
 #: Bit blocks; any two of them must agree: RADIUS differing bits leave at least two untouched.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(BLOCKS, 2)]
-#: 64-bit words, radius and min-hashes of the wide fingerprints. 48 of 256 bits
-#: is an angle of 34 degrees; texts of similarity 0.8 are at 27 degrees or less.
-WIDE, WIDE_RADIUS, SKETCHES = 4, 48, 6
+#: 64-bit words, radius and min-hashes of the wide fingerprints. 64 of 256 bits
+#: is an angle of 45 degrees; texts of similarity 0.8 are at 27 degrees or less.
+WIDE, WIDE_RADIUS, SKETCHES = 4, 64, 6
+#: Least similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Times a group of candidates is dealt, bytes of shingles in a partition, and in one packed part of a spanning group.
+DEALS, SET_BYTES, SET_PART = 2, 16 << 20, 1 << 20
 #: Buckets up to this size are compared pair by pair of neighbours, larger ones by search.
 SMALL = 48
 #: Queries that go against the planes together, and lanes in a block.
@@ -376,12 +383,196 @@ def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 3, id_col: str
     return found.join(components, "fp").select(id_col, "fp", "component_id")
 
 
+# Links of near copies, kept only at the exact shingle similarity
+
+
+def _similar(shared: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether shared / union of two sets is at least ``SIMILAR``, in whole numbers."""
+    over, under = SIMILAR
+    return shared * under >= (size + sizes - shared) * over
+
+
+class Sets:
+    """Sets of shingle hashes in order of size, asked which are similar to a given one."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.order = np.argsort(lengths, kind="stable")
+        self.terms, flat = np.unique(np.concatenate([sets[k] for k in self.order]), return_inverse=True)
+        self._lay(flat, lengths[self.order])
+        self.mark = np.zeros(len(self.terms), dtype=bool)
+
+    def _lay(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.lengths, self.ends = flat, lengths, np.cumsum(lengths)
+
+    def like(self, asked: np.ndarray) -> np.ndarray:
+        """Positions (in order of size) of the sets similar to ``asked``; only sizes that can be are looked at."""
+        over, under = SIMILAR
+        lo = np.searchsorted(self.lengths * under, len(asked) * over)
+        hi = np.searchsorted(self.lengths * over, len(asked) * under, side="right")
+        if lo >= hi:
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, asked), len(self.terms) - 1)
+        at = at[self.terms[at] == asked]
+        self.mark[at] = True
+        first = self.ends[lo] - self.lengths[lo]
+        shared = np.add.reduceat(self.mark[self.flat[first : self.ends[hi - 1]]], self.ends[lo:hi] - self.lengths[lo:hi] - first, dtype=np.int64)
+        self.mark[at] = False
+        return lo + np.flatnonzero(_similar(shared, len(asked), self.lengths[lo:hi]))
+
+    def drop(self, positions: np.ndarray) -> None:
+        stay = np.ones(len(self.order), dtype=bool)
+        stay[positions] = False
+        self.order, flat = self.order[stay], self.flat[np.repeat(stay, self.lengths)]
+        self._lay(flat, self.lengths[stay])
+
+
+def set_links(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Star links (member, first reached) of the components of similar sets; what is reached is no longer a target."""
+    rest, left, right = Sets(sets), [], []
+    while len(rest.order) > 1:
+        centre = int(rest.order[0])
+        rest.drop(np.zeros(1, np.int64))
+        frontier = [centre]
+        while frontier and len(rest.order):
+            hit = rest.like(sets[frontier.pop()])
+            if len(hit):
+                found = rest.order[hit].tolist()
+                frontier += found
+                left += found
+                right += [centre] * len(found)
+                rest.drop(hit)
+    return left, right
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For one sorted partition of (t, key, node, shingles): its links, and the rows of its first and last group."""
+    from pyspark import TaskContext
+
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    t, key, node = (table.column(c).to_numpy() for c in ("t", "key", "node"))
+    packed = table.column("shingles").combine_chunks()
+    cuts = [*np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]).tolist(), len(t)]
+    a, b = [], []
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end - start > 1:
+            i, j = set_links([np.frombuffer(x.as_buffer(), dtype="<u8") for x in packed[start:end]])
+            a += node[start:end][i].tolist()
+            b += node[start:end][j].tolist()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+        names=["node", "b", "t", "key", "part", "shingles"],
+    )
+    for start, end in {(cuts[0], cuts[1]), (cuts[-2], cuts[-1])}:
+        n = end - start
+        columns = [pa.array(node[start:end], pa.int64()), pa.nulls(n, pa.int64()), pa.array(t[start:end], pa.int32()), pa.array(key[start:end], pa.int64())]
+        columns += [pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32()), packed[start:end].cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "b", "t", "key", "part", "shingles"])
+
+
+def _packed_sets(rows: DataFrame, name: str) -> DataFrame:
+    """Rows sorted by (key, part) as structs of at most about ``SET_PART`` bytes of one key and part."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.stack([batch.column(c).to_numpy() for c in ("key", "part")], axis=1)
+            nodes, labels = (batch.column(c).to_numpy().astype("<i8") for c in ("node", "label"))
+            packed = [x.as_py() for x in batch.column("shingles")]
+            spans, start, held = [], 0, 0
+            for k in range(len(own)):
+                if k > start and ((own[k] != own[start]).any() or held + len(packed[k]) > SET_PART):
+                    spans.append((start, k))
+                    start, held = k, 0
+                held += len(packed[k])
+            if len(own):
+                spans.append((start, len(own)))
+            value = [
+                {"nodes": nodes[s:e].tobytes(), "labels": labels[s:e].tobytes(), "sizes": np.array([len(x) // 8 for x in packed[s:e]], "<i8").tobytes(), "shingles": b"".join(packed[s:e])}
+                for s, e in spans
+            ]
+            kind = pa.struct([(c, pa.binary()) for c in ("nodes", "labels", "sizes", "shingles")])
+            yield pa.RecordBatch.from_arrays([pa.array([own[s, 0] for s, _ in spans], pa.int64()), pa.array(value, kind)], names=["key", name])
+
+    return rows.select("key", "part", "node", "label", "shingles").mapInArrow(pack, f"key long, {name} struct<nodes:binary,labels:binary,sizes:binary,shingles:binary>")
+
+
+def _cross_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between packed stragglers and other rows of their group, one for each other label a straggler meets."""
+
+    def unpack(value):
+        nodes, labels, sizes = (np.frombuffer(value[c], dtype="<i8") for c in ("nodes", "labels", "sizes"))
+        return nodes, labels, np.split(np.frombuffer(value["shingles"], dtype="<u8"), np.cumsum(sizes)[:-1])
+
+    for batch in batches:
+        for asked, others in zip(batch.column(0), batch.column(1), strict=True):
+            nodes, labels, sets = unpack(asked.as_py())
+            to, met, rest = unpack(others.as_py())
+            rest = Sets(rest)
+            a, b = [], []
+            for node, label, one in zip(nodes.tolist(), labels.tolist(), sets, strict=True):
+                hit = rest.order[rest.like(one)]
+                hit = hit[met[hit] != label]
+                first = hit[np.unique(met[hit], return_index=True)[1]]
+                a += [node] * len(first)
+                b += to[first].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def exact_components(sets: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, root) of the components of similar sets inside each group. ``sets``: (key: the group, node, shingles), stored.
+
+    Groups are dealt over partitions like buckets, ``DEALS`` times by different
+    hashes, so the parts of a large component are joined by the rows they have
+    in common. What is outside a group's prevailing component is compared with
+    all the rest of the group.
+    """
+    total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    n = max(sets.sparkSession.sparkContext.defaultParallelism, DEALS * total // SET_BYTES)
+    rows = sets.select(F.explode(F.array(*map(F.lit, range(DEALS)))).alias("t"), "key", "node", "shingles")
+    within = F.xxhash64("t", "node")
+    dealt = rows.repartitionByRange(n, "t", "key", within).sortWithinPartitions("t", "key", within)
+    compared = ws.write(dealt.mapInArrow(_compare_sets, "node long, b long, t int, key long, part int, shingles binary"), "set_compared")
+    links = compared.filter("b IS NOT NULL").select(F.col("node").alias("a"), "b")
+    edge = compared.filter("b IS NULL").drop("b")
+    spanning = edge.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key").distinct()
+    # A group is settled if it is whole in one deal; the rest go on with the rows of the first deal.
+    whole = rows.filter("t = 0").join(F.broadcast(spanning) if spanning.count() <= BROADCAST_IDS else spanning, "key")
+    labels = connected_components(links, ws, "set_first").withColumnRenamed("root", "label")
+    whole = ws.write(whole.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "shingles"), "set_spanning")
+    main = whole.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
+    unsettled = ws.write(main.filter("n > 1").select("key", "main"), "set_unsettled")
+    if unsettled.limit(1).count():
+        open_rows = whole.join(unsettled, "key")
+        sides = []
+        for name, side in (("asked", open_rows.filter("label <> main")), ("others", open_rows)):
+            size = side.groupBy("key").agg(F.sum(F.length("shingles")).alias("_bytes"))
+            side = side.join(size, "key").withColumn("part", F.expr(f"pmod(xxhash64(node), 1 + _bytes div {SET_PART})"))
+            sides.append(_packed_sets(side.repartition("key", "part").sortWithinPartitions("key", "part"), name))
+        pairs = sides[0].join(sides[1], "key").select("asked", "others")
+        pairs = pairs.repartition(F.xxhash64("asked.nodes", "others.nodes"))
+        links = links.unionByName(ws.write(pairs.mapInArrow(_cross_sets, "a long, b long"), "set_cross"))
+    return connected_components(links, ws, "set_all")
+
+
+def shingle_sets(docs: DataFrame, groups: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, node, shingles: the sorted distinct hashes as bytes) of the documents in ``groups`` (node, root)."""
+    side = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups.hint("shuffle_hash")
+    some = docs.join(side, docs[id_col].cast("long") == side["node"]).select(F.struct("root", "node").alias("_of"), text_col)
+    made = map_texts(some, "_of", text_col, lambda: lambda text: (np.unique(shingle_hashes(text, width)).astype("<u8").tobytes(),), "shingles binary")
+    return made.filter("length(shingles) > 0").select(F.col("_of.root").alias("key"), F.col("_of.node").alias("node"), "shingles")
+
+
 def similar_components(docs: DataFrame, ws: Workspace, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of the documents that are near copies of another by the wide fingerprint; the least id names them."""
-    found = ws.write(wide_fingerprints(docs.filter(F.col(id_col).isNotNull()), width, id_col, text_col), "wide")
+    """(id, component_id) of the documents that are near copies of another, links being exact similarity; the least id names them."""
+    docs = docs.filter(F.col(id_col).isNotNull())
+    found = ws.write(wide_fingerprints(docs, width, id_col, text_col), "wide")
     fields = [f"f{k}" for k in range(WIDE)]
     rows = found.select(F.posexplode("sketch").alias("t", "key"), F.col(id_col).cast("long").alias("node"), *fields)
-    roots = components_of(rows, found.count() * SKETCHES, WIDE, WIDE_RADIUS, ws)
+    groups = ws.write(components_of(rows, found.count() * SKETCHES, WIDE, WIDE_RADIUS, ws), "candidates")
+    roots = exact_components(ws.write(shingle_sets(docs, groups, width, id_col, text_col), "sets"), ws)
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
 
