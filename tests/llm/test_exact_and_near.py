@@ -211,6 +211,23 @@ def test_near_copies_are_those_of_similarity_four_fifths(spark, monkeypatch, per
     assert found == expected
 
 
+def test_repeated_lines_count_once(spark):
+    """A line repeated 1 or 40 times hardly changes the set of shingles; a shared repeated line makes no near copies."""
+    rng = random.Random(21)
+    words = [f"word{k}" for k in range(3000)]
+    rows = []
+    for i in range(12):
+        text, line = (" ".join(rng.choice(words) for _ in range(n)) for n in (200, 10))
+        rows += [(10 * i + k, text + (" " + line) * times) for k, times in enumerate((2, 20, 40))]
+    line = " ".join(rng.choice(words) for _ in range(10))
+    rows += [(1000 + i, " ".join(rng.choice(words) for _ in range(60)) + (" " + line) * 40) for i in range(30)]
+    for _, text in rows[::3][:12]:
+        wide = simhash.wide_fingerprint(text, 5)
+        assert wide == simhash.wide_fingerprint(text + " " + " ".join(text.split()[-20:]), 5)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs_of(spark, rows), Workspace(spark, "t")).collect()}
+    assert found == brute_components(rows) == {10 * i + k: 10 * i for i in range(12) for k in range(3)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]

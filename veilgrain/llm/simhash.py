@@ -19,7 +19,8 @@ than three, beyond what equal bit blocks can find. ``drop_near_copies`` and
 ``similar_components`` therefore use 256-bit fingerprints of five-word shingles
 (the XXH64 mixed three times more), radius ``WIDE_RADIUS``, and take the
 buckets from ``SKETCHES`` min-hashes of the same shingles: two texts of
-similarity 0.8 share none of six with probability 0.2 ** 6. The components so
+similarity 0.8 share none of six with probability 0.2 ** 6. Like the similarity,
+they count a repeated shingle once. The components so
 found are only groups of candidates; inside each, two documents are linked if
 the exact similarity of their sets of shingles (64-bit hashes) is ``SIMILAR``
 or more.
@@ -116,8 +117,8 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def wide_fingerprint(text: str | None, width: int) -> tuple[list[int], list[int]]:
-    """``WIDE`` unsigned words of fingerprint, and ``SKETCHES`` min-hashes (none for no words)."""
-    hashes = shingle_hashes(text, width)
+    """``WIDE`` unsigned words of fingerprint, and ``SKETCHES`` min-hashes (none for no words), of the set of shingles."""
+    hashes = np.unique(shingle_hashes(text, width))
     words = [majority(mixed(hashes, k) if k else hashes) for k in range(WIDE)]
     return words, [int(mixed(hashes, 100 + k).min()) for k in range(SKETCHES)] if len(hashes) else []
 
