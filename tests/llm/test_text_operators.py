@@ -279,6 +279,20 @@ def test_surrogates_are_distinct_even_when_room_is_tight(spark):
 # Licences
 
 
+def test_licence_files_are_full_texts(spark):
+    """A full licence text passes its licence on; prose with a licence line and SPDX headers hold for their file alone."""
+    full = licenses.FULL_TEXTS
+    rows = [(f"/{name}/LICENSE", f"Copyright (c) 2021 Jane Doe\n\n{text}") for name, text in full.items()] + [(f"/{name}/src/x", "hello") for name in full]
+    rows += [("/p/note", "The harbour was quiet all day. Licensed under the MIT license."), ("/p/x", "hello")]
+    rows += [("/q/a", "# SPDX-License-Identifier: GPL-2.0-or-later\ncode"), ("/q/x", "hello"), ("/q/b", "SPDX-License-Identifier: Unheard-of")]
+    found = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string"), Workspace(spark, "t")).collect()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "MIT"} <= set(full)
+    for name in full:
+        assert found[f"/{name}/LICENSE"] == (name, "own") and found[f"/{name}/src/x"] == (name, "inherited")
+    assert found["/p/note"] == ("MIT", "own") and found["/p/x"] == (None, None)
+    assert found["/q/a"] == ("GPL-2.0", "own") and found["/q/x"] == (None, None) and found["/q/b"] == (None, None)
+
+
 def test_licences(spark):
     rows = [
         ("/a/LICENSE", "Released under the MIT License."), ("/a/b/x.txt", "nothing here"), ("/a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."),

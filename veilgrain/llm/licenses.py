@@ -3,8 +3,9 @@
 The texts are read once. Each gives the template terms it holds (for document
 frequencies over all texts) and, where a licence word occurs, sparse term
 vectors of its sentences with such a word (headers) and of the whole text (a
-licence file is one whose whole text is close to a template). Terms outside
-the templates only count in a vector's length. The vectors are then scored by
+licence file is one whose whole text is close to a full licence text, or is a
+notice and hardly anything else). An SPDX identifier names its licence. Terms
+outside the templates only count in a vector's length. The vectors are then scored by
 cosine with the inverse document frequencies of the corpus. A file without a
 licence of its own takes that of the nearest directory at or above it that has
 a licence file: distinct directories are joined with their ancestors' paths,
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from veilgrain.llm.common import map_texts
 from veilgrain.workspace import Workspace, read_table
 
 MIN_HEADER, MIN_FILE = 0.6, 0.6
+#: A whole text counts as a notice only if it holds little else.
+MIN_NOTICE_FILE = 0.9
 
 # Notices by which the licences are told, under their SPDX names.
 TEMPLATES = {
@@ -55,10 +59,13 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-ANCHORS = (b"licen", b"permission", b"public domain", b"spdx")
+#: Full licence texts by SPDX name, to which whole texts are compared.
+FULL_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+ANCHORS = (b"licen", b"permission", b"public domain", b"spdx", b"redistribution")
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _SENTENCE = re.compile(r"[.!?;](?:\s|$)|\n")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)")
 _ANCHOR = re.compile("licen[cs]|permission|public domain|spdx")
 
 
@@ -67,47 +74,66 @@ def terms_of(text: str) -> Counter:
 
 
 VOCABULARY = frozenset(t for notices in TEMPLATES.values() for n in notices for t in terms_of(n))
+FILE_VOCABULARY = VOCABULARY.union(*map(terms_of, FULL_TEXTS.values()))
+_NAMES = {name.lower(): name for name in (*TEMPLATES, *FULL_TEXTS)}
 
 
-def _vector(counts: Counter) -> dict:
+def _vector(counts: Counter, vocabulary: frozenset) -> dict:
     """Terms of the templates with their weights before IDF, and the squared length of all others."""
     weights = {t: 1 + math.log(n) for t, n in counts.items()}
-    inside = {t: w for t, w in weights.items() if t in VOCABULARY}
-    return {"terms": list(inside), "weights": list(inside.values()), "rest": sum(w * w for t, w in weights.items() if t not in VOCABULARY)}
+    inside = {t: w for t, w in weights.items() if t in vocabulary}
+    return {"terms": list(inside), "weights": list(inside.values()), "rest": sum(w * w for t, w in weights.items() if t not in vocabulary)}
 
 
-def read_text(text: str | None) -> tuple[list[str], list[dict], dict | None]:
-    """Template terms that occur, vectors of its licence sentences, vector of the whole text if it has any."""
+def spdx_name(low: str) -> str | None:
+    """Licence of the first known SPDX identifier in a lower-case text."""
+    for found in _SPDX.findall(low):
+        if name := _NAMES.get(re.sub(r"(-only|-or-later|\+)$", "", found)):
+            return name
+    return None
+
+
+def read_text(text: str | None) -> tuple[list[str], list[dict], dict | None, str | None]:
+    """Template terms that occur, vectors of its licence sentences, vector of the whole text if it has any, SPDX licence."""
     if not text:
-        return [], [], None
+        return [], [], None, None
     low = text.lower()
     counts = terms_of(low)
-    present = [t for t in VOCABULARY if t in counts]
+    present = list(counts.keys() & FILE_VOCABULARY)
     raw = low.encode("utf-8", "surrogatepass")
     if not any(a in raw for a in ANCHORS):
-        return present, [], None
+        return present, [], None, None
     sentences = dict.fromkeys(s.strip() for s in _SENTENCE.split(low) if _ANCHOR.search(s))
-    return present, [_vector(terms_of(s)) for s in sentences], _vector(counts)
+    return present, [_vector(terms_of(s), VOCABULARY) for s in sentences], _vector(counts, FILE_VOCABULARY), spdx_name(low)
 
 
 class Matcher:
     """Cosine of vectors to the templates under given document frequencies."""
 
     def __init__(self, frequency: dict[str, int], texts: int):
-        self.idf = {t: 1 + math.log((texts + 1) / (frequency.get(t, 0) + 1)) for t in VOCABULARY}
+        self.idf = {t: 1 + math.log((texts + 1) / (frequency.get(t, 0) + 1)) for t in FILE_VOCABULARY}
         self.rare = 1 + math.log(texts + 1)
-        self.templates = []
-        for name in sorted(TEMPLATES):
-            for notice in TEMPLATES[name]:
-                v = {t: (1 + math.log(n)) * self.idf[t] for t, n in terms_of(notice).items()}
-                self.templates.append((name, v, math.sqrt(sum(w * w for w in v.values()))))
-
-    def best(self, vector: dict | None) -> tuple[float, str | None]:
+        self.templates = [self._template(name, notice) for name in sorted(TEMPLATES) for notice in TEMPLATES[name]]
+        self.full = [self._template(name, FULL_TEXTS[name]) for name in sorted(FULL_TEXTS)]
+
+    def _template(self, name: str, text: str) -> tuple[str, dict[str, float], float]:
+        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in terms_of(text).items()}
+        return name, v, math.sqrt(sum(w * w for w in v.values()))
+
+    def file(self, vector: dict | None) -> tuple[float, str | None]:
+        """Cosine and licence of a whole text that is a full licence text or hardly more than a notice, else no licence."""
+        score, name = self.best(vector, self.full)
+        notice_score, notice = self.best(vector, self.templates)
+        if notice_score >= MIN_NOTICE_FILE and notice_score > score:
+            return notice_score, notice
+        return score, name if score >= MIN_FILE else None
+
+    def best(self, vector: dict | None, templates: list | None = None) -> tuple[float, str | None]:
         if not vector or not vector["terms"]:
             return 0.0, None
         own = {t: w * self.idf[t] for t, w in zip(vector["terms"], vector["weights"], strict=True)}
         length = math.sqrt(sum(w * w for w in own.values()) + vector["rest"] * self.rare**2)
-        scored = [(sum(w * v[t] for t, w in own.items() if t in v) / length / size, name) for name, v, size in self.templates]
+        scored = [(sum(w * v[t] for t, w in own.items() if t in v) / length / size, name) for name, v, size in templates or self.templates]
         return max(scored, key=lambda s: s[0])
 
 
@@ -115,22 +141,24 @@ def own_licenses(files: DataFrame, ws: Workspace, path_col: str, text_col: str,
     """``keep`` columns, path, header and whole-file licence with cosine."""
     vector = "struct<terms:array<string>,weights:array<double>,rest:double>"
     rows = files.select(F.struct(path_col, *keep).alias("f"), F.col(text_col).alias("text"))
-    read = map_texts(rows, "f", "text", lambda: read_text, f"present array<string>, sentences array<{vector}>, whole {vector}")
+    read = map_texts(rows, "f", "text", lambda: read_text, f"present array<string>, sentences array<{vector}>, whole {vector}, spdx string")
     read = ws.write(read, "read")
     counts = read.select(F.explode("present").alias("t")).groupBy("t").count()  # at most a row for each template term
     matcher = Matcher({r["t"]: r["count"] for r in counts.collect()}, read.count())
     shared = files.sparkSession.sparkContext.broadcast(matcher)
 
     @F.udf("struct<license:string,score:double,file_license:string,file_score:double>", useArrow=True)
-    def judge(sentences, whole):
+    def judge(sentences, whole, spdx):
         best, name = max((shared.value.best(s) for s in sentences), key=lambda s: s[0], default=(0.0, None))
-        file_score, file_name = shared.value.best(whole)
+        if spdx:
+            best, name = 1.0, spdx
+        file_score, file_name = shared.value.file(whole)
         return {
             "license": name if best >= MIN_HEADER else None, "score": best,
-            "file_license": file_name if file_score >= MIN_FILE else None, "file_score": file_score,
+            "file_license": file_name, "file_score": file_score,
         }
 
-    some = read.filter("whole IS NOT NULL").select("f", judge("sentences", "whole").alias("j")).select("f.*", "j.*")
+    some = read.filter("whole IS NOT NULL").select("f", judge("sentences", "whole", "spdx").alias("j")).select("f.*", "j.*")
     nulls = [F.lit(None).cast(t).alias(n) for n, t in (("license", "string"), ("score", "double"), ("file_license", "string"), ("file_score", "double"))]
     return some.unionByName(read.filter("whole IS NULL").select("f.*", *nulls))
 
@@ -150,7 +178,7 @@ def scan_licenses(files: DataFrame, ws: Workspace, path_col: str = "path", text_
     nearest = dirs.join(by_dir, "_above").groupBy("_dir").agg(F.max_by("from_above", "depth").alias("from_above"))
     nearest = ws.write(nearest.withColumnRenamed("_dir", "_at"), "nearest")
     joined = found.join(nearest, found["_dir"] == nearest["_at"], "left")
-    own = F.coalesce("license", "file_license")
+    own = F.coalesce("file_license", "license")  # a whole text says more than a sentence in it
     origin = F.when(own.isNotNull(), "own").when(F.col("from_above").isNotNull(), "inherited")
     score = F.when(own.isNotNull(), F.greatest("score", "file_score"))
     return joined.select(path_col, *keep, F.coalesce(own, "from_above").alias("license"), origin.alias("origin"), score.alias("score"))
