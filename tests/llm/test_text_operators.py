@@ -270,7 +270,7 @@ def test_surrogates(spark):
 
 
 def test_surrogates_are_distinct_even_when_room_is_tight(spark):
-    values = spark.createDataFrame([("email", f"{c}@a.de") for c in "abcdefghijklmnopqrst"] + [("card", f"{k:013d}") for k in range(50)], "type string, canon string")
+    values = spark.createDataFrame([("email", f"{c}@a.de", None) for c in "abcdefghijklmnopqrst"] + [("card", f"{k:013d}", None) for k in range(50)], "type string, canon string, form string")
     drawn = pii.draw_surrogates(values, "key", Workspace(spark, "t")).collect()
     assert len({(r["type"], r["surrogate"]) for r in drawn}) == len(drawn) == 70
     assert not {(r["type"], r["surrogate"]) for r in drawn} & {(r["type"], r["canon"]) for r in drawn}
