@@ -29,7 +29,7 @@ def test_uniform_and_laplace(spark):
     assert 0 <= one(spark, hashing.secure_uniform()) < 1
 
 
-# epsilon, delta, batch size, clip, temperature, gate noise -> rho of a token, tokens, epsilon at these and at one more
+# Epsilon, delta, batch size, clip, temperature, gate noise -> rho of a token, tokens, epsilon at these and at one more
 GOLDEN = [
     (1, 1e-5, 255, 10, 2, None, 1.9223375624759708e-04, 108, 0.998560, 1.003269),
     (1, 1e-5, 255, 10, 2, 0.2, 9.6116878123798540e-04, 21, 0.984307, 1.007957),
@@ -107,3 +107,28 @@ def test_match_label(spark, answer, want, compat):
 def test_render_leaves_braces_of_values(spark):
     assert one(spark, text.render("{label}: {example}", label=F.lit("L"), example=F.lit("{label} {x}"))) == "L: {label} {x}"
     assert one(spark, text.without_bos(F.lit("<bos><bos>x"))) == "<bos>x"
+
+
+def test_sampling_is_linear_in_the_vocabulary(spark):
+    """20 rows of 50,000 tokens through clip, mask, softmax and draw."""
+    import time
+
+    import numpy as np
+
+    from veilgrain.operators.logits import sample
+
+    rng = np.random.default_rng(3)
+    z = [rng.normal(size=50_000) * 8 for _ in range(20)]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(z)], "id long, z array<double>").repartition(4).cache()
+    rows.count()
+    began = time.monotonic()
+    got = rows.select("id", sample(logits.top_k_mask(logits.clip(F.col("z"), 9.0), F.col("z"), 500), 2.0, 42, F.col("id")).alias("t")).collect()
+    assert time.monotonic() - began < 30
+    for r in got:
+        own = np.maximum(-9.0, z[r["id"]] - z[r["id"]].max() + 9.0)
+        own[np.argsort(-z[r["id"]], kind="stable")[500:]] = -np.inf
+        p = np.exp((own - own.max()) / 2.0)
+        total = np.cumsum(np.rint(p / p.sum() * 2.0**40).astype(np.int64))
+        u = int(hashlib.sha256(f"42|{r['id']}|token".encode()).hexdigest()[:13], 16) / 2**52
+        assert r["t"] == int(np.searchsorted(total, math.floor(u * total[-1]), side="right"))
+    rows.unpersist()

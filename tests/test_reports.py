@@ -47,7 +47,7 @@ def test_sql_functions_equal_the_columns(spark):
         privacy.rho_per_token(F.lit(10.0), F.lit(255), F.lit(2.0), F.lit(0.2)), privacy.epsilon_of_rho(F.lit(0.1), F.lit(1e-5)),
     ).collect()
     for a, b in zip(got, want):
-        assert list(a)[:4] == pytest.approx(list(b), rel=1e-2) and a[4] == [1.0, -5.0, 5.0]
+        assert list(a)[:4] == pytest.approx(list(b), rel=1e-14) and a[4] == [1.0, -5.0, 5.0]
 
 
 def test_extension_points(spark):

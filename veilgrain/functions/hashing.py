@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 def hash_bucket(text: Column, buckets: Column) -> Column:
     """SHA-256 of ``text`` as a 256-bit number modulo ``buckets`` (below 2**31), folded over eight 32-bit words."""
-    digest = F.sha2(text, 256)
-    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
     modulus = buckets.cast("long")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: (acc * 4294967296 + w) % modulus)
+
+    def fold(digest: Column) -> Column:
+        words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+        return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: (acc * 4294967296 + w) % modulus)
+
+    # Bound by a lambda, so that the text is hashed once and not for each word of the digest.
+    return F.element_at(F.transform(F.array(F.sha2(text, 256)), fold), 1)
 
 
 def bucket_key(label: Column, text: Column) -> Column:

@@ -1,4 +1,7 @@
-"""The formulas as SQL functions of a session. Their bodies are SQL, so calls are inlined into the plan."""
+"""The formulas as SQL functions of a session. Their bodies are SQL, so calls are inlined into the plan.
+
+What a lambda would evaluate for every element is bound by a transform of one element first.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +13,12 @@ FUNCTIONS = {
         "0.5D * power(clip / (batch_size * temperature), 2) + CASE WHEN svt_noise > 0 THEN 2 / power(batch_size * svt_noise, 2) ELSE 0 END",
     ),
     "epsilon_of_rho(rho DOUBLE, delta DOUBLE)": ("DOUBLE", "CASE WHEN rho <= 0 THEN 0D ELSE rho + sqrt(4 * rho * ln(1 / delta)) END"),
-    "clip_logits(z ARRAY<DOUBLE>, c DOUBLE)": ("ARRAY<DOUBLE>", "transform(z, x -> greatest(-c, x - array_max(z) + c))"),
-    "laplace(u DOUBLE, b DOUBLE)": ("DOUBLE", "-b * signum(greatest(u, 1.1e-16D) - 0.5D) * ln(1 - 2 * abs(greatest(u, 1.1e-16D) - 0.5D))"),
+    "clip_logits(z ARRAY<DOUBLE>, c DOUBLE)": ("ARRAY<DOUBLE>", "element_at(transform(array(array_max(z) - c), off -> transform(z, x -> greatest(-c, x - off))), 1)"),
+    "laplace(u DOUBLE, b DOUBLE)": ("DOUBLE", "-b * signum(greatest(u, power(2D, -53)) - 0.5D) * ln(1 - 2 * abs(greatest(u, power(2D, -53)) - 0.5D))"),
     "hash_bucket(key STRING, n BIGINT)": (
         "BIGINT",
-        "aggregate(sequence(0, 7), 0L, (acc, i) -> (acc * 4294967296L + CAST(conv(substring(sha2(key, 256), i * 8 + 1, 8), 16, 10) AS BIGINT)) % n)",
+        "element_at(transform(array(sha2(key, 256)), "
+        "h -> aggregate(sequence(0, 7), 0L, (acc, i) -> (acc * 4294967296L + CAST(conv(substring(h, i * 8 + 1, 8), 16, 10) AS BIGINT)) % n)), 1)",
     ),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,32 +12,30 @@ from veilgrain.functions.hashing import laplace, uniform
 
 
 def _summed(rows: DataFrame, batch: str, values: Column, size: int, out: str) -> DataFrame:
-    """Sum of an array column by batch and position, over the expected batch size; sums combine before the shuffle."""
-    long = rows.select(batch, F.posexplode(values).alias("token", "v"))
-    return long.groupBy(batch, "token").agg((F.sum("v") / float(size)).alias(out))
+    """Sum of an array column by batch over the expected batch size, as an array.
+
+    Vectors are added up whole in one buffer for each batch and task, and only
+    these buffers are shuffled: nothing is exploded to a row for each token.
+    """
+    total = rows.select(batch, array_to_vector(values).alias("_v")).groupBy(batch).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("_t"))
+    return total.select(batch, F.transform("_t", lambda x: x / float(size)).alias(out))
 
 
 def clip_and_aggregate(rows: DataFrame, batch: str, z: str, c: float, expected_size: int) -> DataFrame:
-    """(batch, token, zbar): clipped logits over the *expected* size, whatever the batch holds."""
+    """(batch, zbar: array by token): clipped logits over the *expected* size, whatever the batch holds."""
     return _summed(rows, batch, L.clip(F.col(z), c), expected_size, "zbar")
 
 
 def mean_distribution(rows: DataFrame, batch: str, z: str, expected_size: int) -> DataFrame:
-    """(batch, token, p): mean unclipped softmax at temperature one."""
+    """(batch, p: array by token): mean unclipped softmax at temperature one."""
     return _summed(rows, batch, L.softmax(F.col(z)), expected_size, "p")
 
 
-def dense(rows: DataFrame, batch: str, value: str) -> DataFrame:
-    """(batch, value: array by token)."""
-    pairs = F.array_sort(F.collect_list(F.struct("token", value)))
-    return rows.groupBy(batch).agg(pairs.alias("_p")).select(batch, F.col(f"_p.{value}").alias(value))
-
-
 def distances(rows: DataFrame, public: DataFrame, batch: str, z: str, expected_size: int) -> DataFrame:
     """(batch, distance): L1 between the mean private and the public distribution (``public``: batch, z)."""
     private = mean_distribution(rows, batch, z, expected_size)
-    shown = public.select(batch, F.posexplode(L.softmax(F.col(z))).alias("token", "q"))
-    return private.join(shown, [batch, "token"]).groupBy(batch).agg(F.sum(F.abs(F.col("p") - F.col("q"))).alias("distance"))
+    shown = public.select(batch, L.softmax(F.col(z)).alias("q"))
+    return private.join(shown, batch).select(batch, L.l1_distance(F.col("p"), F.col("q")).alias("distance"))
 
 
 def noisy_threshold(threshold: float, noise: float, *counters: Column | str | int) -> Column:

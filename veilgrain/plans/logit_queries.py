@@ -39,7 +39,7 @@ def _zbar(spark, sf_dir):
 
 
 def clip_aggregate(spark, sf_dir):
-    return _zbar(spark, sf_dir).withColumn("zbar", F.round("zbar", 8))
+    return _long(_zbar(spark, sf_dir), ["label"], F.col("zbar"), "zbar")
 
 
 def _distance(spark, sf_dir):
@@ -51,9 +51,8 @@ def svt_distance(spark, sf_dir):
 
 
 def _masked(spark, sf_dir):
-    own = G.dense(_zbar(spark, sf_dir), "label", "zbar")
     shown = public(spark, sf_dir).withColumnRenamed("z", "shown")
-    return own.join(shown, "label").select("label", "shown", L.top_k_mask(F.col("zbar"), F.col("shown"), K).alias("z"))
+    return _zbar(spark, sf_dir).join(shown, "label").select("label", "shown", L.top_k_mask(F.col("zbar"), F.col("shown"), K).alias("z"))
 
 
 def topk_mask(spark, sf_dir):
@@ -78,8 +77,7 @@ def svt_gate(spark, sf_dir):
 
 
 def categorical_sample(spark, sf_dir):
-    own = G.dense(_zbar(spark, sf_dir), "label", "zbar")
-    return own.select("label", G.sample(F.col("zbar"), TAU, SEED, F.col("label")).alias("token"))
+    return _zbar(spark, sf_dir).select("label", G.sample(F.col("zbar"), TAU, SEED, F.col("label")).alias("token"))
 
 
 def one_step_token(spark, sf_dir):
