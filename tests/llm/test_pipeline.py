@@ -6,7 +6,8 @@ from veilgrain.workspace import read_table
 def test_pipeline_against_its_operators_one_by_one(spark, sf):
     """Every stage's decisions, recomputed on the driver over plain lists."""
     docs = read_table(spark, sf, "documents")
-    judge = langid.Compressors(langid.learn(docs))
+    learned = langid.learn(docs)
+    judge = langid.Compressors(learned.dictionaries, learned.min_margin)
     rows = [r for r in docs.collect() if not judge.predict(r["text"])[3]]
     last = {}
     for r in rows:

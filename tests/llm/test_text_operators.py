@@ -125,8 +125,9 @@ def test_language_accuracy_and_cases(spark, sf):
     got = sorted((r["doc_id"] or 0, r["lang_pred"], r["rejected"]) for r in langid.identify(odd, learnt).collect())
     assert got == [(0, "de", False), (1, "und", True), (2, "und", True), (3, "und", True), (3, "und", True)]
     assert all(0 <= r["score"] <= 1 for r in rows)
-    assert langid.learn(odd.limit(0)) == {}
-    assert langid.identify(odd, {}).filter("lang_pred <> 'und'").count() == 0
+    nothing = langid.learn(odd.limit(0))
+    assert nothing.dictionaries == {}
+    assert langid.identify(odd, nothing).filter("lang_pred <> 'und'").count() == 0
     assert langid.drop_rejected(odd, learnt).columns == odd.columns
 
 

@@ -1,17 +1,20 @@
 """Toxicity: a character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams of 4, 5, 6 and 8 bytes of the lower-cased whole text,
-hashed to ``BUCKETS``. Each is scaled by the smoothed log ratio of its
+Features are the distinct n-grams of 4, 5, 6 and 8 characters (code points) of the
+lower-cased whole text, hashed to 2 ** ``BUCKETS_LOG2`` buckets. Each is scaled by the smoothed log ratio of its
 frequency in toxic and other texts, and a logistic regression is trained on the
 scaled features. Training uses at most ``SAMPLE_TOXIC`` toxic and
 ``SAMPLE_OTHER`` other labelled texts, drawn by hash from rows that are not
-held out; weights restore the labelled shares, so scores are probabilities.
+held out; weights restore the labelled shares, so scores are probabilities. Of
+a sampled text over ``SAMPLE_CHARS`` characters that many are learned from, cut
+out at a hashed place; scoring always reads the whole text.
 
 Defined cases: null or empty text has no features and scores the base rate of
 such a text (the intercept); null labels and ids are not learned from; an id
 labelled more than once is toxic if any label says so; with labels of one class
 only (or none) every score is that class's share. Repeated rows are scored
-alike. Texts are scored whole, in pieces of ``PIECE`` bytes that overlap.
+alike, an empty table gives an empty one, other columns are not read. Texts are
+scored whole, in pieces of ``PIECE`` characters that overlap.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from veilgrain.llm.common import held_out, map_texts
 from veilgrain.workspace import read_table
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 2000, 4000
-#: Labelled texts longer than this are not drawn, which bounds what reaches the driver.
-MAX_SAMPLE_CHARS = 20_000
+#: Characters of a sampled text that are learned from, which bounds what reaches the driver.
+SAMPLE_CHARS = 20_000
 BUCKETS_LOG2 = 20
 SIZES = (4, 5, 6, 8)
 SMOOTHING = 1.0
@@ -37,27 +40,28 @@ RIDGE, ROUNDS = 1e-3, 150
 THRESHOLD = 0.3
 PIECE = 1 << 18
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
-def _hashes(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of all n-grams of a byte array, size by size."""
-    wide = raw.astype(np.uint64)
+def _hashes(points: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of an array of code points, size by size."""
+    wide = points.astype(np.uint64)
     gram = wide
     for n in range(2, SIZES[-1] + 1):
-        if len(raw) < n:
+        if len(points) < n:
             return
-        gram = gram[:-1] << np.uint64(8) | wide[n - 1 :]
+        gram = gram[:-1] * _STEP + wide[n - 1 :]
         if n in SIZES:
-            yield ((gram ^ np.uint64(n << 59)) * _MIX >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
+            mixed = (gram ^ np.uint64(n << 59)) * _MIX
+            yield ((mixed ^ mixed >> np.uint64(29)) * _MIX >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
 
 
 def features(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct buckets of a text; with ``wanted`` (a flag for each bucket) only those."""
-    raw = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), dtype=np.uint8) if text else np.empty(0, np.uint8)
+    points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4") if text else np.empty(0, "<u4")
     found = []
-    for at in range(0, len(raw), PIECE):
-        for h in _hashes(raw[at : at + PIECE + SIZES[-1] - 1]):
+    for at in range(0, len(points), PIECE):
+        for h in _hashes(points[at : at + PIECE + SIZES[-1] - 1]):
             found.append(h if wanted is None else h[wanted[h]])
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
 
@@ -108,8 +112,10 @@ def train(
         own = marked.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most)
         drawn = own if drawn is None else drawn.unionByName(own)
     # At most SAMPLE_TOXIC + SAMPLE_OTHER ids, so they can be sent to the scan of the texts.
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.length(F.coalesce("t", F.lit(""))) <= MAX_SAMPLE_CHARS)
-    sample = texts.join(F.broadcast(drawn), "i").groupBy("i").agg(F.first("t").alias("t"), F.first("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    place = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int")
+    cut = F.when(F.length("t") <= SAMPLE_CHARS, F.col("t")).otherwise(F.substring("t", place + 1, F.lit(SAMPLE_CHARS)))
+    sample = texts.join(F.broadcast(drawn), "i").select("i", "y", cut.alias("t")).groupBy("i").agg(F.max("t").alias("t"), F.first("y").alias("y"))
     rows = sorted(sample.select("i", "t", "y").collect(), key=lambda r: r["i"])
     toxic = np.array([r["y"] for r in rows], dtype=float)
     got = {y: max(1, int((toxic == y).sum())) for y in (0, 1)}
