@@ -1,18 +1,27 @@
 """Secret scan: fixed base patterns plus formats inferred from the secrets they find.
 
-The texts are read once. That pass finds the base spans (``assign``, ``access``,
-``hex``) and all candidates: maximal runs of 16 or more characters of
-``[A-Za-z0-9+/_=-]`` with a digit that overlap no base span. The values the
-base patterns label, in a bounded sample for each kind, form prefix trees whose
-statistically compatible states are merged (Hoeffding bound, red-blue order)
-into probabilistic automata. Every candidate is then scored by its likelihood
-under each format (symbols from the automaton, length from the labelled
-lengths) against a background format learned from a bounded sample of the
-candidates; those that stand out are added as ``like_<kind>`` spans.
+A first pass over the texts finds the base spans (``assign``, ``access``,
+``hex``) and counts, over all candidates of all texts, which character follows
+which and how long candidates are. A candidate is any run of ``MIN_VALUE`` or
+more characters of ``[A-Za-z0-9+/_.=-]`` outside the base spans, also beside
+one, without dots at its ends. The values that the base patterns label, a
+bounded sample for each kind, form prefix trees whose statistically compatible
+states are merged (Hoeffding bound, red-blue order) into probabilistic automata.
+
+The second pass scores every candidate by its likelihood under each format
+(symbols from the automaton, length from the labelled lengths) against the
+background of all candidates. The odds of the kind against the background start
+from their counts in all texts, so what is common in prose needs more evidence;
+candidates whose odds end ``MIN_GAIN`` or more above even are added as
+``like_<kind>`` spans. What is sent to the executors are formats of a bounded
+size and counts of pairs of 68 characters.
 
 Defined cases: null or empty text has no spans; base spans never go; with no
 labelled value of a kind that kind infers nothing. Offsets are code points, end
 exclusive. Texts are scanned whole; repeated rows are scanned like any other.
+An empty table gives an empty one; other columns are neither read nor renamed.
+Of a labelled value its first ``TRAIN_CHARS`` characters (and its length) are
+learned from; all values and candidates are scored whole.
 """
 
 from __future__ import annotations
@@ -20,22 +29,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.llm.common import map_texts
 from veilgrain.workspace import Workspace, read_table
 
-#: Labelled values of a kind, and background candidates, that a format is inferred from.
+#: Labelled values of a kind that a format is inferred from.
 SAMPLE_VALUES = 1500
-#: Log-likelihood by which a format must beat the background.
+#: Natural logarithm of the odds at which a candidate is added.
 MIN_GAIN = 6.0
 #: Significance of the compatibility test.
 ALPHA = 0.05
-#: Longest value that is taken for training; all are scored.
-MAX_TRAIN_CHARS = 200
+#: Characters of a labelled value that go into its prefix tree.
+TRAIN_CHARS = 200
+#: Added to every count of a symbol, and symbols there are.
+SMOOTHING, SYMBOLS = 0.05, 68
+#: Lengths from which on candidates are counted together in the background.
+LONG = 256
+#: Verdicts on short candidates that a worker remembers.
+REMEMBERED, SHORT = 1 << 17, 64
 
 # The base patterns and their least lengths.
 KINDS = ("assign", "access", "hex")
@@ -44,10 +61,9 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_CANDIDATE = 6, 20, 24, 16
+MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_VALUE = 6, 20, 24, 6
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile("[0-9]")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{{{MIN_VALUE - 1},}}")
 _ORDER = {k: i for i, k in enumerate([*KINDS, *(f"like_{k}" for k in KINDS)])}
 _SPAN = "kind:string,start:long,end:long,value:string"
 
@@ -56,7 +72,10 @@ def _class(chars: str) -> bytes:
     return bytes(120 if c < 128 and re.match(f"[{chars}]", chr(c)) else 32 for c in range(256))
 
 
-_IS_HEX, _IS_CANDIDATE = _class("0-9a-f"), _class("A-Za-z0-9+/_=-")
+_IS_HEX = _class("0-9a-f")
+#: Numbers of the symbols of candidates from 1; 0 ends one.
+_NUMBER = {c: k for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", 1)}
+_AS_NUMBER = bytes(_NUMBER.get(chr(c), 0) for c in range(256))
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 
@@ -74,25 +93,31 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]]))
 
 
-def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Long runs with a digit outside the base spans."""
-    if b"x" * MIN_CANDIDATE not in text.encode("utf-8", "surrogatepass").translate(_IS_CANDIDATE) or not _DIGIT.search(text):
-        return []
-    runs = [("", m.start(), m.end(), m[0]) for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])]
-    return [r for r in runs if not any(s < r[2] and r[1] < e for _, s, e, _ in base)] if base else runs
+def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, value) of the runs outside the base spans, which cut the runs they are in."""
+    out, at = [], 0
+    for start, end in [*((s, e) for _, s, e, _ in sorted(base, key=lambda b: b[1])), (len(text), len(text))]:
+        if start - at >= MIN_VALUE:
+            for m in _RUN.finditer(text, at, start):
+                value = m[0].rstrip(".")
+                if len(value) >= MIN_VALUE:
+                    out.append((m.start(), m.start() + len(value), value))
+        at = max(at, end)
+    return out
 
 
 class Format:
     """A probabilistic automaton inferred from sample strings, with their lengths."""
 
     def __init__(self, values: list[str]):
+        """``values``: distinct labelled values, whole."""
         # state: symbol -> [next state, count]; visits; endings
         self.edges: list[dict[str, list[int]]] = [{}]
         self.visits, self.stops = [0], [0]
         for v in values:
             state = 0
             self.visits[0] += 1
-            for c in v:
+            for c in v[:TRAIN_CHARS]:
                 edge = self.edges[state].setdefault(c, [len(self.edges), 0])
                 if edge[0] == len(self.edges):
                     self.edges.append({})
@@ -104,6 +129,7 @@ class Format:
             self.stops[state] += 1
         self.lengths, self.n = Counter(map(len, values)), len(values)
         self._merge_states()
+        self._tabulate()
 
     def _differ(self, a: int, b: int) -> bool:
         """Whether endings or any symbol differ by more than chance, here or further on."""
@@ -156,80 +182,150 @@ class Format:
                 self.edges[r][c][0] = match
                 self._fold(match, blue)
 
+    def _tabulate(self) -> None:
+        """Log-probabilities of each state's symbols, once; the tree itself is not needed any more."""
+        self.table, self.other = [], []
+        for edges in self.edges:
+            seen = math.log(sum(e[1] for e in edges.values()) + SMOOTHING * SYMBOLS)
+            self.table.append({c: (math.log(n + SMOOTHING) - seen, to) for c, (to, n) in edges.items()})
+            self.other.append(math.log(SMOOTHING) - seen)
+        self.by_length: dict[int, float] = {}
+        del self.edges, self.visits, self.stops
+
     def log_likelihood(self, value: str) -> float:
         """Unseen symbols, and those from a state never reached, have the small probability of an even guess."""
         total, state = 0.0, 0
         for c in value:
-            edge = self.edges[state].get(c)
-            seen = sum(e[1] for e in self.edges[state].values())
-            total += math.log(((edge[1] if edge else 0) + 0.05) / (seen + 0.05 * 66))
-            state = edge[0] if edge else 0
-        near = sum(n / (1 + abs(length - len(value))) ** 3 for length, n in self.lengths.items())
-        return total + math.log((near + 0.01) / (self.n + 1))
-
-
-def infer_formats(found: DataFrame) -> dict[str, Format]:
-    """A format for each kind with labelled values, and the background under ''. ``found``: base and candidates arrays."""
-    rows = found.select(F.explode(F.concat("base", "candidates")).alias("s")).select("s.kind", "s.value")
-    rows = rows.filter(F.length("value") <= MAX_TRAIN_CHARS)
-    formats = {}
-    for kind in ("", *KINDS):
-        own = rows.filter(F.col("kind") == kind).select("value").distinct()
-        drawn = own.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_VALUES).collect()
-        if drawn:
-            formats[kind] = Format([r["value"] for r in drawn])
-    return formats
-
+            step = self.table[state].get(c)
+            total, state = (total + step[0], step[1]) if step else (total + self.other[state], 0)
+        size = len(value)
+        if size not in self.by_length:
+            near = sum(n / (1 + abs(length - size)) ** 3 for length, n in self.lengths.items())
+            if len(self.by_length) > 4096:
+                self.by_length.clear()
+            self.by_length[size] = math.log((near + 0.01) / (self.n + 1))
+        return total + self.by_length[size]
+
+
+class Background:
+    """What candidates look like: which symbol follows which (0 before the first), and lengths, from counts of all of them."""
+
+    def __init__(self, follows: dict[tuple[int, int], int], lengths: dict[int, int]):
+        self.candidates = sum(lengths.values())
+        count = np.zeros((SYMBOLS + 1, SYMBOLS + 1))
+        for (a, b), n in follows.items():
+            count[a, b] = n
+        # What follows a symbol that few candidates hold is guessed from all symbols, so that no candidate explains itself.
+        alone = (count.sum(axis=0) + SMOOTHING) / (count.sum() + SMOOTHING * SYMBOLS)
+        self.pairs = np.log((count + SYMBOLS * alone) / (count.sum(axis=1, keepdims=True) + SYMBOLS))
+        self.by_length = [math.log((lengths.get(k, 0) + SMOOTHING) / (self.candidates + SMOOTHING * LONG)) for k in range(LONG + 1)]
 
-def judge(formats: dict[str, Format]) -> Callable[[str], str | None]:
-    """The kind a candidate looks like, or None."""
-    background = formats.get("", None)
-
-    def one(value: str) -> str | None:
-        base = background.log_likelihood(value) if background else -math.log(66) * len(value)
-        scored = [(formats[k].log_likelihood(value) - base, k) for k in KINDS if k in formats]
+    def log_likelihood(self, value: str) -> float:
+        numbers = np.frombuffer(b"\0" + value.encode("latin-1").translate(_AS_NUMBER), np.uint8)
+        return float(self.pairs[numbers[:-1], numbers[1:]].sum()) + self.by_length[min(len(value), LONG)]
+
+
+def follow_counts(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often a symbol follows another in ``values`` (numbers, 0 before the first; a flat square), and their lengths."""
+    raw = np.frombuffer(("\0" + "\0".join(values)).encode("latin-1").translate(_AS_NUMBER), np.uint8).astype(np.int32)
+    code = raw[:-1] * 128 + raw[1:]
+    return np.bincount(code[raw[1:] != 0], minlength=128 * 128), np.bincount([min(len(v), LONG) for v in values], minlength=LONG + 1)
+
+
+def survey(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled values as (kind, value), and the counts of all candidates: (a, b, n) for pairs, (null, length, n) for lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, lengths = np.zeros(128 * 128, np.int64), np.zeros(LONG + 1, np.int64)
+        names = ["kind", "value", "a", "b", "n"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+
+        def rows(*columns) -> pa.RecordBatch:
+            size = max(len(c) for c in columns if c is not None)
+            return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for batch in batches:
+            labelled = []
+            for item in batch.column(0):
+                text = item.as_py()
+                if text:
+                    base = base_spans(text)
+                    labelled += [(s[0], s[3]) for s in base]
+                    if values := [v for _, _, v in candidates(text, base)]:
+                        more = follow_counts(values)
+                        pairs += more[0]
+                        lengths += more[1]
+            if labelled:
+                labelled = sorted(set(labelled))
+                yield rows([k for k, _ in labelled], [v for _, v in labelled], None, None, None)
+        some = np.flatnonzero(pairs)
+        if len(some):
+            yield rows(None, None, some // 128, some % 128, pairs[some])
+        some = np.flatnonzero(lengths)
+        if len(some):
+            yield rows(None, None, None, some, lengths[some])
+
+    return docs.select(text_col).mapInArrow(run, "kind string, value string, a int, b int, n long")
+
+
+def infer_formats(found: DataFrame) -> tuple[dict[str, Format], dict[str, int], Background]:
+    """A format for each kind with labelled values, how many distinct values it has, and the background. ``found``: a stored survey."""
+    labelled = found.filter("kind IS NOT NULL").select("kind", "value").distinct()
+    sizes = {r["kind"]: r["count"] for r in labelled.groupBy("kind").count().collect()}
+    formats = {}
+    for kind in KINDS:
+        if kind in sizes:
+            drawn = labelled.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE_VALUES)
+            cut = F.substring("value", 1, TRAIN_CHARS)
+            rows = drawn.select(cut.alias("value"), F.length("value").alias("size")).collect()
+            formats[kind] = Format([r["value"] + "." * (r["size"] - len(r["value"])) for r in rows])
+    counts = found.filter("kind IS NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # at most the square of the symbols
+    follows = {(r["a"], r["b"]): r["n"] for r in counts if r["a"] is not None}
+    lengths = {r["b"]: r["n"] for r in counts if r["a"] is None}
+    return formats, sizes, Background(follows, lengths)
+
+
+def judge(formats: dict[str, Format], sizes: dict[str, int], background: Background) -> Callable[[str], str]:
+    """The kind a candidate looks like, or an empty string."""
+    start = {k: math.log(sizes[k] / max(background.candidates, sizes[k])) for k in formats}
+    known: dict[str, str] = {}
+
+    def weigh(value: str) -> str:
+        base = background.log_likelihood(value)
+        scored = [(formats[k].log_likelihood(value) + start[k] - base, k) for k in KINDS if k in formats]
         best = max(scored, key=lambda x: (x[0], -_ORDER[x[1]]), default=(-math.inf, ""))
-        return f"like_{best[1]}" if best[0] >= MIN_GAIN else None
+        return f"like_{best[1]}" if best[0] >= MIN_GAIN else ""
+
+    def one(value: str) -> str:
+        if len(value) > SHORT:
+            return weigh(value)
+        if value not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[value] = weigh(value)
+        return known[value]
 
     return one
 
 
 def scan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, added): arrays of (kind, start, end, value) in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(infer_formats(ws.write(survey(docs, text_col), "survey")))
+    names = ("kind", "start", "end", "value")
+
+    def make():
+        kind_of = judge(*shared.value)
 
-    def first():
         def one(text):
-            base = base_spans(text) if text else []
-            names = ("kind", "start", "end", "value")
-            more = candidates(text, base) if text else []
-            return [dict(zip(names, s, strict=True)) for s in base], [dict(zip(names, s, strict=True)) for s in more]
+            if not text:
+                return [], []
+            base = base_spans(text)
+            added = [(kind, s, e, v) for s, e, v in candidates(text, base) if (kind := kind_of(v))]
+            return [dict(zip(names, s, strict=True)) for s in base], [dict(zip(names, s, strict=True)) for s in added]
 
         return one
 
-    schema = f"base array<struct<{_SPAN}>>, candidates array<struct<{_SPAN}>>"
-    found = ws.write(map_texts(docs, id_col, text_col, first, schema), "found")
-    shared = docs.sparkSession.sparkContext.broadcast(infer_formats(found))
-
-    @F.udf("array<string>", useArrow=True)
-    def looks_like(values):
-        kind = judge(shared.value)
-        return [kind(v) or "" for v in values]
-
-    # Only rows with candidates go through Python again.
-    kinds = F.when(F.size("candidates") > 0, looks_like(F.col("candidates.value")))
-    with_kinds = found.filter(F.size("candidates") > 0).select("*", kinds.alias("kinds"))
-    pairs = F.filter(F.arrays_zip("candidates", "kinds"), lambda p: p["kinds"] != "")
-    added = F.transform(
-        pairs,
-        lambda p: F.struct(
-            p["kinds"].alias("kind"),
-            p["candidates"]["start"].alias("start"),
-            p["candidates"]["end"].alias("end"),
-            p["candidates"]["value"].alias("value"),
-        ),
-    )
-    none = found.filter(F.size("candidates") == 0).select(id_col, "base", F.col("candidates").alias("added"))
-    return none.unionByName(with_kinds.select(id_col, "base", added.alias("added")))
+    return map_texts(docs, id_col, text_col, make, f"base array<struct<{_SPAN}>>, added array<struct<{_SPAN}>>")
 
 
 def _joined(spans: Column) -> Column:
