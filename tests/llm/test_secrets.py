@@ -124,6 +124,7 @@ def test_query_against_a_plain_version(spark, sf):
 def test_long_values_train_and_repeat(spark):
     rng = random.Random(8)
     rows = [(k, f"secret={word(rng, 'xyz123', 400)}") for k in range(30)] + [(100, f"see {word(rng, 'xyz123', 380)} there")] * 2
+    rows += [(200 + k, "the harbour was quiet and the weather stayed pleasant " * 5) for k in range(50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = secrets.scan(frame, Workspace(spark, "secrets")).filter("doc_id = 100").collect()
     assert len(found) == 2 and all(a["kind"] == "like_assign" for r in found for a in r["added"]) and all(len(r["added"]) == 1 for r in found)
