@@ -7,12 +7,17 @@ import pytest
 from veilgrain.llm import components, exact_dedup, simhash
 from veilgrain.workspace import Workspace, read_table
 
-DOCS = "doc_id long, text string, lang string, digest string, row_no int, ids string, _gone int"
+#: Every name that the operators use inside.
+CLASHES = (
+    "digest row_no best group_size own_id keep_id keep_row kept seen batch doc _mixed _gone _named _digest n at fp node root key t f0 f1 least label "
+    "component_id sketch shingles a b part main _bytes _of ids n_words score j i y l"
+).split()
+DOCS = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def docs_of(spark, rows):
     """Documents with extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, "en", "d", 1, "x", 2) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, *CLASHES) for i, t in rows], DOCS)
 
 
 def union_find(n, pairs):
@@ -37,14 +42,57 @@ def test_exact_groups(spark):
     assert by == sorted([(1, 2, 3, False), (2, 2, 3, True), (2, 2, 3, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True), (-1, 5, 2, False), (-1, -1, 1, True)])
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_index_is_persistent(spark):
     ws = Workspace(spark, "t")
     index = exact_dedup.DigestIndex(spark, ws.table("idx"), 4)
-    exact_dedup.deduplicate(docs_of(spark, [(1, "a"), (2, "b")]), index, ws).count()
-    second = exact_dedup.deduplicate(docs_of(spark, [(7, "a"), (8, "c"), (9, "c")]), index, Workspace(spark, "t2")).collect()
-    assert sorted((r["doc_id"], r["keep_id"], r["kept"], r["seen"]) for r in second) == [(7, 1, False, True), (8, 9, False, False), (9, 9, True, False)]
-    assert index.read().count() == 3
-    assert "Bucketed: true" in index.read()._jdf.queryExecution().toString() or index.read().rdd.getNumPartitions() >= 1
+    first = exact_dedup.deduplicate(docs_of(spark, [(1, "a"), (2, "b")]), index, ws, batch="one")
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"], r["seen"]) for r in first.collect()) == [(1, 1, True, False), (2, 2, True, False)]
+    docs = docs_of(spark, [(7, "a"), (8, "c"), (9, "c")])
+    want = [(7, 1, False, True), (8, 9, False, False), (9, 9, True, False)]
+    for _ in range(2):  # a batch that is run again gives the same and adds nothing
+        second = exact_dedup.deduplicate(docs, index, Workspace(spark, "t2"), batch="two").collect()
+        assert sorted((r["doc_id"], r["keep_id"], r["kept"], r["seen"]) for r in second) == want
+        assert index.read().count() == 3
+    assert exact_dedup.drop_copies(docs, Workspace(spark, "t3"), index=index).count() == 0  # all seen by now
+    found = {bytes(r["digest"]): (r["keep_id"], r["batch"]) for r in index.read().collect()}
+    assert found == {hashlib.sha256(t.encode()).digest(): v for t, v in {"a": (1, "one"), "b": (2, "one"), "c": (9, "two")}.items()}
+
+
+def test_plan_is_a_sort_merge_anti_join_over_buckets(spark):
+    """Even where a side would be small enough to broadcast, and without a shuffle of the index."""
+    ws = Workspace(spark, "t")
+    index = exact_dedup.DigestIndex(spark, ws.table("idx"), 4)
+    exact_dedup.deduplicate(docs_of(spark, [(k, f"text {k}") for k in range(50)]), index, ws)
+    groups = spark.createDataFrame([(b"x", 1)], "digest binary, keep_id long")
+    missing = index.missing(groups)
+    plan = plan_of(missing)
+    assert "SortMergeJoin LeftAnti" in plan and "Broadcast" not in plan
+    assert "Bucketed: true" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 1 and missing.count() == 1
+
+
+def test_query_second_batch(spark, sf):
+    """The query's documents after a first batch of half of them: only texts of the other half are new."""
+    docs = read_table(spark, sf, "documents")
+    ws = Workspace(spark, "t")
+    index = exact_dedup.DigestIndex(spark, ws.table("idx"))
+    exact_dedup.deduplicate(docs.filter("doc_id % 2 = 0"), index, ws)
+    rows = docs.collect()
+    old = {}
+    for r in rows:
+        if r["doc_id"] % 2 == 0:
+            old[r["text"]] = max(old.get(r["text"], -1), r["doc_id"])
+    last = {}
+    for r in rows:
+        last[r["text"]] = max(last.get(r["text"], -1), r["doc_id"])
+    for r in exact_dedup.deduplicate(docs, index, Workspace(spark, "t2")).collect():
+        text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        assert (r["seen"], r["keep_id"]) == ((True, old[text]) if text in old else (False, last[text]))
+        assert r["kept"] == (text not in old and last[text] == r["doc_id"])
 
 
 def test_drop_copies_keeps_columns_and_one_of_each(spark):

@@ -561,8 +561,9 @@ def exact_components(sets: DataFrame, ws: Workspace) -> DataFrame:
 def shingle_sets(docs: DataFrame, groups: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(key, node, shingles: the sorted distinct hashes as bytes) of the documents in ``groups`` (node, root)."""
     side = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups.hint("shuffle_hash")
-    some = docs.join(side, docs[id_col].cast("long") == side["node"]).select(F.struct("root", "node").alias("_of"), text_col)
-    made = map_texts(some, "_of", text_col, lambda: lambda text: (np.unique(shingle_hashes(text, width)).astype("<u8").tobytes(),), "shingles binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    some = texts.join(side, "node").select(F.struct("root", "node").alias("_of"), "text")
+    made = map_texts(some, "_of", "text", lambda: lambda text: (np.unique(shingle_hashes(text, width)).astype("<u8").tobytes(),), "shingles binary")
     return made.filter("length(shingles) > 0").select(F.col("_of.root").alias("key"), F.col("_of.node").alias("node"), "shingles")
 
 
