@@ -192,6 +192,14 @@ class Format:
         self.by_length: dict[int, float] = {}
         del self.edges, self.visits, self.stops
 
+    def best(self) -> np.ndarray:
+        """The largest log-probability that any state gives to each symbol, by its number from 1 on. No length has more than 1."""
+        top = dict.fromkeys(_NUMBER, max(self.other))
+        for edges in self.table:
+            for c, (p, _) in edges.items():
+                top[c] = max(top.get(c, p), p)
+        return np.array([top[c] for c in _NUMBER])
+
     def log_likelihood(self, value: str) -> float:
         """Unseen symbols, and those from a state never reached, have the small probability of an even guess."""
         total, state = 0.0, 0
@@ -225,9 +233,14 @@ class Background:
         return float(self.pairs[numbers[:-1], numbers[1:]].sum()) + self.by_length[min(len(value), LONG)]
 
 
+def _numbers(values: list[str]) -> np.ndarray:
+    """Numbers of the symbols of all values, with a 0 before each."""
+    return np.frombuffer(("\0" + "\0".join(values)).encode("latin-1").translate(_AS_NUMBER), np.uint8)
+
+
 def follow_counts(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """How often a symbol follows another in ``values`` (numbers, 0 before the first; a flat square), and their lengths."""
-    raw = np.frombuffer(("\0" + "\0".join(values)).encode("latin-1").translate(_AS_NUMBER), np.uint8).astype(np.int32)
+    raw = _numbers(values).astype(np.intp)
     code = raw[:-1] * 128 + raw[1:]
     return np.bincount(code[raw[1:] != 0], minlength=128 * 128), np.bincount([min(len(v), LONG) for v in values], minlength=LONG + 1)
 
@@ -285,9 +298,19 @@ def infer_formats(found: DataFrame) -> tuple[dict[str, Format], dict[str, int],
     return formats, sizes, Background(follows, lengths)
 
 
-def judge(formats: dict[str, Format], sizes: dict[str, int], background: Background) -> Callable[[str], str]:
-    """The kind a candidate looks like, or an empty string."""
+def judge(formats: dict[str, Format], sizes: dict[str, int], background: Background) -> Callable[[list[str]], list[str]]:
+    """For a list of candidates: the kind that each looks like, or an empty string.
+
+    A candidate's odds are bounded by the best that any state makes of each of
+    its symbols. That bound is summed up for all candidates of a text at once;
+    only those that it leaves open are walked through the automata.
+    """
     start = {k: math.log(sizes[k] / max(background.candidates, sizes[k])) for k in formats}
+    width = SYMBOLS + 1
+    bounds = [(np.pad(f.best(), (1, 0))[None, :] - background.pairs).ravel() for f in formats.values()]
+    for table in bounds:
+        table[::width] = 0.0  # what ends a candidate weighs nothing
+    by_length = np.array(background.by_length)
     known: dict[str, str] = {}
 
     def weigh(value: str) -> str:
@@ -305,7 +328,23 @@ def judge(formats: dict[str, Format], sizes: dict[str, int], background: Backgro
             known[value] = weigh(value)
         return known[value]
 
-    return one
+    def kinds(values: list[str]) -> list[str]:
+        out = [""] * len(values)
+        if not values or not formats:
+            return out
+        raw = _numbers(values)
+        code = raw[:-1].astype(np.intp) * width + raw[1:]
+        length = np.fromiter(map(len, values), np.int64, len(values))
+        first = np.cumsum(length + 1) - length - 1
+        least = MIN_GAIN + by_length[np.minimum(length, LONG)] - 1e-6
+        still = np.zeros(len(values), dtype=bool)
+        for table, k in zip(bounds, formats, strict=True):
+            still |= np.add.reduceat(table[code], first) + start[k] >= least
+        for k in np.flatnonzero(still):
+            out[k] = one(values[k])
+        return out
+
+    return kinds
 
 
 def scan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,13 +353,14 @@ def scan(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str =
     names = ("kind", "start", "end", "value")
 
     def make():
-        kind_of = judge(*shared.value)
+        kinds_of = judge(*shared.value)
 
         def one(text):
             if not text:
                 return [], []
             base = base_spans(text)
-            added = [(kind, s, e, v) for s, e, v in candidates(text, base) if (kind := kind_of(v))]
+            found = candidates(text, base)
+            added = [(kind, *c) for c, kind in zip(found, kinds_of([v for _, _, v in found]), strict=True) if kind]
             return [dict(zip(names, s, strict=True)) for s in base], [dict(zip(names, s, strict=True)) for s in added]
 
         return one
