@@ -1,5 +1,6 @@
 import json
 import math
+from functools import partial
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions import hashing, privacy, sql
 from veilgrain.operators import evaluation, prompts, protocols, reports
-from veilgrain.operators.generation import PrivateTextEngine, Settings
+from veilgrain.operators.generation import MarkovModel, PrivateTextEngine, Settings
 from veilgrain.sources import run_log
 from veilgrain.workspace import Workspace
 
@@ -57,6 +58,6 @@ def test_extension_points(spark):
     built = protocols.TemplatePrompts("imdb", prompts.chat_wrap)
     assert rows.select(built.public(F.lit("Positive"))).first()[0].startswith("<start_of_turn>user\nHere are texts with Sentiment: Positive.")
     public = spark.createDataFrame([("a few public words",)], "text string")
-    engine = PrivateTextEngine("imdb", Settings(batch_size=5, max_private_tokens=3, max_total_tokens=5), 8, policy=policy)
+    engine = PrivateTextEngine("imdb", Settings(batch_size=5, max_private_tokens=3, max_total_tokens=5), partial(MarkovModel.learn, vocab_size=8), policy=policy)
     made, described = engine.generate(rows, public, Workspace(spark, "t"))
     assert described.count() <= 6 and made.count() > 0

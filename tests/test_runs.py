@@ -172,14 +172,20 @@ def test_markov_backend_walk(spark):
     table = generation.public_logits(generation.bigrams(public, vocab), 6, 0.5)
     z = np.array([r["logit"] for r in table.orderBy("prev", "token").collect()]).reshape(6, 6)
     assert np.allclose(np.exp(z).sum(axis=1), 1)
-    backend = generation.MarkovBackend(words, z, ["the the", None], [2, 1], beta=2.0)
+    model = generation.MarkovModel.learn(public, Workspace(spark, "t"), 6, 0.5, 2.0)
+    assert all(np.allclose(model.row(k), z[k]) for k in range(6))
+    backend = model.backend(generation.Batch("b", ["the the", None], [2, 1]))
     rows, weight = backend.private([2])
     assert rows[0][2] == pytest.approx(z[2][2] + 2 * math.log(2)) and np.allclose(rows[1], z[2]) and weight.tolist() == [2, 1]
 
 
+def small_model(public, ws):
+    return generation.MarkovModel.learn(public, ws, 12)
+
+
 def test_generation_is_reproducible_and_resumes(spark):
     public = spark.createDataFrame([(f"some public words number {k % 3}",) for k in range(9)], "text string")
-    engine = generation.PrivateTextEngine("agnews", Settings(batch_size=8, max_private_tokens=6, max_total_tokens=10, svt_noise=0.1, svt_threshold=0.2), 12)
+    engine = generation.PrivateTextEngine("agnews", Settings(batch_size=8, max_private_tokens=6, max_total_tokens=10, svt_noise=0.1, svt_threshold=0.2, seed=42), small_model)
     made, described = engine.generate(examples(spark), public, Workspace(spark, "t"))
     again, _ = engine.generate(examples(spark), public, Workspace(spark, "t2"))
     key = lambda rows: sorted((r["batch_id"], r["example_no"], tuple(r["token_ids"])) for r in rows.collect())

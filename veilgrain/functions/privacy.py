@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,3 +98,29 @@ def scale(b: Column, n: Column) -> Column:
 
 def svt_enabled(threshold: Column) -> Column:
     return threshold > F.lit(float("-inf"))
+
+
+class Accountant(Protocol):
+    """How costs of events add up and what they guarantee; all of it column expressions, so any grouping may use it."""
+
+    def cost(self, b: Column) -> Column:
+        """The cost of one event's bound."""
+
+    def total(self, cost: Column) -> Column:
+        """An aggregate over the costs of events."""
+
+    def guarantee(self, total: Column, delta: Column) -> Column:
+        """Epsilon at ``delta``."""
+
+
+class ZcdpAccountant:
+    """Sequential composition of zCDP bounds; a bound of another family is an error."""
+
+    def cost(self, b: Column) -> Column:
+        return rho_of(b)
+
+    def total(self, cost: Column) -> Column:
+        return F.sum(cost)
+
+    def guarantee(self, total: Column, delta: Column) -> Column:
+        return epsilon_of_rho(total, delta)

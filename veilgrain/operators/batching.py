@@ -10,6 +10,10 @@ from veilgrain.operators.prefix import running
 from veilgrain.workspace import Workspace
 
 
+#: Labels whose counts are sent to every executor; more are joined by a shuffle.
+MOST_LABELS = 10_000
+
+
 def assign_buckets(examples: DataFrame, batch_size: int, num_batches: int | None = None) -> DataFrame:
     """``examples`` (example_id, text, label) with ``bucket``.
 
@@ -20,7 +24,10 @@ def assign_buckets(examples: DataFrame, batch_size: int, num_batches: int | None
         return examples.withColumn("bucket", hash_bucket(bucket_key(F.col("label"), F.col("text")), F.lit(num_batches)))
     buckets = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / batch_size)).cast("long")
     counts = examples.groupBy(F.col("label").alias("_label")).agg(buckets.alias("_n"))
-    joined = examples.join(counts, examples["label"].eqNullSafe(counts["_label"]))  # a row a label
+    few = counts.limit(MOST_LABELS + 1).collect()
+    if len(few) <= MOST_LABELS:  # as ever with a vocabulary of labels: a row a label goes to the examples, not they to one task a label
+        counts = F.broadcast(examples.sparkSession.createDataFrame(few, counts.schema))
+    joined = examples.join(counts, examples["label"].eqNullSafe(counts["_label"]))
     return joined.withColumn("bucket", hash_bucket(bucket_key(F.col("label"), F.col("text")), F.col("_n"))).drop("_label", "_n")
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.functions.text import match_label
 from veilgrain.operators.prefix import running
 from veilgrain.operators.prompts import balanced_prompt, balanced_shots
+from veilgrain.operators.reports import evaluation_result
 from veilgrain.sources.catalog import dataset
+from veilgrain.sources.run_log import read_log
 from veilgrain.workspace import Workspace
 
 
@@ -55,22 +58,25 @@ def running_accuracy(predicted: DataFrame, ws: Workspace, order: str, label: str
 
 def icl_evaluate(
     shots_from: DataFrame, test: DataFrame, name: str, complete: Callable[[list[str]], list[str]], num_shots: int = 4,
-    max_test: int | None = 500, compat: bool = False,
+    max_test: int | None = None, compat: bool = False,
 ) -> DataFrame:
-    """(example_id, label, completion, pred) of the test rows, the first ``max_test`` by id.
+    """(example_id, label, completion, pred) of the test rows; with ``max_test`` of so many, the first by id.
 
-    ``complete`` turns a list of prompts into completions; it runs on Arrow batches in the workers.
+    ``complete`` turns a list of prompts into completions; it runs on Arrow
+    batches in the workers. Every row carries its label along, so rows that
+    share an id are judged each on their own.
     """
-    prompts = balanced_prompt(balanced_shots(shots_from, name, num_shots, compat), name, test)
+    some = test if max_test is None else test.orderBy("example_id").limit(max_test)
+    prompts = balanced_prompt(balanced_shots(shots_from, name, num_shots, compat), name, some, "example_id", "label")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"example_id": rows["example_id"], "completion": complete(rows["prompt"].tolist())})
+            yield rows[["example_id", "label"]].assign(completion=complete(rows["prompt"].tolist()))
 
-    asked = prompts if max_test is None else prompts.orderBy("example_id").limit(max_test)
-    answers = asked.mapInPandas(run, f"example_id {test.schema['example_id'].dataType.simpleString()}, completion string")
+    kinds = {c: test.schema[c].dataType.simpleString() for c in ("example_id", "label")}
+    answers = prompts.mapInPandas(run, f"example_id {kinds['example_id']}, label {kinds['label']}, completion string")
     pred = match_label(F.col("completion"), dataset(name).label_names, compat)
-    return test.select("example_id", "label").join(answers, "example_id").select("example_id", "label", "completion", pred.alias("pred"))
+    return answers.select("example_id", "label", "completion", pred.alias("pred"))
 
 
 def train_classifier(train: DataFrame, test: DataFrame, features: int = 1 << 14, epochs: int = 20) -> tuple[DataFrame, list[float]]:
@@ -88,3 +94,41 @@ def train_classifier(train: DataFrame, test: DataFrame, features: int = 1 << 14,
     model = Pipeline(stages=stages).fit(train)
     out = model.transform(test).select(*test.columns, F.col("_pred").cast("int").alias("pred"))
     return out, list(model.stages[-1].summary.objectiveHistory)
+
+
+def load_synthetic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(text, label, label_name) of a run's log, committed batches only, and its header; a log without examples is an error."""
+    log = read_log(spark, path)
+    rows = log.examples.select("text", "label", "label_name")
+    if not rows.limit(1).count():
+        raise ValueError(f"no synthetic examples in {path}")
+    return rows, log.metadata
+
+
+def evaluate(
+    mode: str, name: str, train: DataFrame, test: DataFrame, source: str = "synthetic", complete: Callable[[list[str]], list[str]] | None = None,
+    num_shots: int = 4, max_test: int | None = None, compat: bool = False,
+) -> DataFrame:
+    """One row of scores of what ``train`` teaches about ``test`` (example_id, text, label).
+
+    ``finetune`` trains a classifier on (text, label); ``icl`` takes few-shot
+    examples from ``train`` and asks ``complete``. ``source`` says where the
+    training rows come from: ``synthetic``, or ``real`` for the baseline.
+    """
+    began = time.monotonic()
+    if source not in ("synthetic", "real"):
+        raise ValueError(f"unknown source {source!r}; choose synthetic or real")
+    if mode == "finetune":
+        predicted, _ = train_classifier(train.select("text", "label"), test.select("example_id", "text", "label"))
+    elif mode == "icl":
+        if complete is None:
+            raise ValueError("few-shot evaluation needs a completion function")
+        # Synthetic rows have no id; the order of their texts is as good as any.
+        shots = train if "example_id" in train.columns else train.withColumn("example_id", F.sha2("text", 256))
+        predicted = icl_evaluate(shots, test, name, complete, num_shots, max_test, compat)
+    else:
+        raise ValueError(f"unknown mode {mode!r}; choose finetune or icl")
+    scored = scores(predicted)
+    row = scored.first()  # one row; what follows is how long it took
+    done = scored.sparkSession.createDataFrame([row], scored.schema)
+    return evaluation_result(done, mode, source, name, train.count(), time.monotonic() - began)

@@ -1,11 +1,15 @@
-"""Private text generation: a Markov backend, the token loop and the batch loop.
+"""Private text generation: backends, the token loop and the batch loop.
 
 Every batch is one group of a grouped map. Equal texts are counted before the
-shuffle, so a batch holds distinct texts with multiplicities. The backend's
-logits depend on the previous token only, so the clipped aggregate and the
-private-public distance are computed once for each (batch, previous token) and
-the loop walks these tables. All draws are counter-based: a batch gives the
-same tokens whenever and wherever it runs.
+shuffle, so a batch holds distinct texts with multiplicities. What a token is
+decided by (the clipped aggregate, the public logits and their distance) is
+remembered by the state a backend names for a prefix; the Markov backend names
+the last token, so its loop walks a table that fills as it goes.
+
+Without a seed all noise and all tokens are drawn from the operating system, as
+a run that must protect somebody needs. With a seed every draw is a hash of its
+counters: a batch gives the same tokens whenever and wherever it runs, and its
+noise protects nobody who knows the seed.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from dataclasses import dataclass, replace
+import secrets
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 import numpy as np
@@ -23,13 +29,16 @@ from pyspark.sql import functions as F
 
 from veilgrain.functions.privacy import epsilon_value, rho_token_value
 
+#: A public model goes to every worker: its vocabulary and the pairs it has seen are held to these.
+MOST_TOKENS, MOST_PAIRS = 1 << 16, 5_000_000
+
 EOS, UNKNOWN = "<eos>", "<unk>"
 _TOKEN = re.compile("[a-z]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Mechanism and run settings; an infinite negative threshold switches the gate off."""
+    """Mechanism and run settings; an infinite negative threshold switches the gate off, no seed means secure draws."""
 
     batch_size: int = 255
     clip: float = 10.0
@@ -41,7 +50,7 @@ class Settings:
     max_private_tokens: int = 100
     max_total_tokens: int = 256
     eos: int | None = 0
-    seed: int = 42
+    seed: int | None = None
 
     @property
     def gated(self) -> bool:
@@ -52,8 +61,19 @@ class Settings:
         return rho_token_value(self.clip, self.batch_size, self.temperature, self.svt_noise if self.gated else None)
 
 
+@dataclass(frozen=True)
+class Batch:
+    """One batch as a model gets it: distinct texts, how many examples each stands for, and prompts if it asks for them."""
+
+    batch_id: str
+    texts: list[str]
+    counts: list[int]
+    prompts: list[str] = field(default_factory=list)
+    public_prompt: str = ""
+
+
 class LogitBackend(Protocol):
-    """Next-token logits of a batch's prompts after a shared prefix."""
+    """Next-token logits of a batch's prompts after a shared prefix. A method ``state(prefix)`` may name what they depend on."""
 
     def private(self, prefix: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Logits (prompts, vocabulary) and how many prompts each row stands for."""
@@ -63,6 +83,15 @@ class LogitBackend(Protocol):
     def decode(self, ids: list[int]) -> str: ...
 
 
+class Model(Protocol):
+    """What is sent to every worker, once, and makes the backend of each batch there."""
+
+    #: Whether batches come with rendered prompts.
+    needs_prompts: bool
+
+    def backend(self, batch: Batch) -> LogitBackend: ...
+
+
 def vocabulary(public_texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """(token_id, token, n) of the ``size`` - 2 most frequent public tokens after <eos> and <unk>; private rows never shape it."""
     tokens = public_texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))).alias("token"))
@@ -88,43 +117,81 @@ def bigrams(texts: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataF
 
 
 def public_logits(counts: DataFrame, size: int, alpha: float) -> DataFrame:
-    """(prev, token, logit) for all pairs: ln((n + alpha) / (n of prev + alpha * size))."""
-    spark = counts.sparkSession
-    grid = spark.range(0, size * size, 1, 1).select((F.col("id") / size).cast("int").alias("prev"), (F.col("id") % size).cast("int").alias("token"))
+    """(prev, token, logit) for all pairs: ln((n + alpha) / (n of prev + alpha * size)). Generation keeps the counts sparse instead."""
+    grid = counts.sparkSession.range(0, size * size).select((F.col("id") / size).cast("int").alias("prev"), (F.col("id") % size).cast("int").alias("token"))
     totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
-    both = grid.join(F.broadcast(counts), ["prev", "token"], "left").join(F.broadcast(totals), "prev", "left").fillna(0, ["n", "total"])
+    both = grid.join(counts, ["prev", "token"], "left").join(totals, "prev", "left").fillna(0, ["n", "total"])
     return both.select("prev", "token", F.ln((F.col("n") + alpha) / (F.col("total") + alpha * size)).alias("logit"))
 
 
+class MarkovModel:
+    """A public bigram model; only the pairs that occur are held."""
+
+    needs_prompts = False
+
+    def __init__(self, tokens: list[str], pairs: dict[int, tuple[np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 2.0):
+        """``pairs``: previous token -> (next tokens, their counts)."""
+        self.tokens, self.pairs, self.alpha, self.beta = tokens, pairs, alpha, beta
+        self.index = {t: k for k, t in enumerate(tokens)}
+
+    @classmethod
+    def learn(cls, public_texts: DataFrame, ws, vocab_size: int = 64, alpha: float = 0.5, beta: float = 2.0) -> MarkovModel:
+        """From public texts only. The size of the vocabulary is set, and what it has seen is counted, before anything is fetched."""
+        if vocab_size > MOST_TOKENS:
+            raise ValueError(f"a vocabulary of {vocab_size} is over {MOST_TOKENS}")
+        vocab = ws.write(vocabulary(public_texts, vocab_size), "vocabulary")
+        counts = ws.write(bigrams(public_texts, vocab), "bigrams")
+        if counts.count() > MOST_PAIRS:
+            raise ValueError(f"over {MOST_PAIRS} pairs; take a smaller vocabulary")
+        pairs: dict[int, list] = {}
+        for r in counts.orderBy("prev", "token").collect():
+            pairs.setdefault(r["prev"], []).append((r["token"], r["n"]))
+        held = {prev: tuple(np.array(c) for c in zip(*own, strict=True)) for prev, own in pairs.items()}
+        return cls([r["token"] for r in vocab.orderBy("token_id").collect()], held, alpha, beta)
+
+    def row(self, prev: int) -> np.ndarray:
+        """Public logits after ``prev``."""
+        counts = np.zeros(len(self.tokens))
+        if prev in self.pairs:
+            at, n = self.pairs[prev]
+            counts[at] = n
+        return np.log((counts + self.alpha) / (counts.sum() + self.alpha * len(counts)))
+
+    def backend(self, batch: Batch) -> MarkovBackend:
+        return MarkovBackend(self, batch.texts, batch.counts)
+
+
 class MarkovBackend:
     """Public bigram logits, raised for each private text by beta * ln(1 + its own bigram count)."""
 
-    def __init__(self, tokens: list[str], public: np.ndarray, texts: list[str], counts: list[int], beta: float = 2.0):
-        self.tokens, self.table, self.beta = tokens, public, beta
-        index = {t: k for k, t in enumerate(tokens)}
+    def __init__(self, model: MarkovModel, texts: list[str], counts: list[int]):
+        self.model = model
         self.multiplicity = np.array(counts, dtype=float)
         self.pairs: list[dict[int, dict[int, int]]] = []
         for text in texts:
-            ids = [0, *(index.get(w, 1) for w in _TOKEN.findall((text or "").lower())), 0]
+            ids = [0, *(model.index.get(w, 1) for w in _TOKEN.findall((text or "").lower())), 0]
             own: dict[int, dict[int, int]] = {}
             for a, b in zip(ids, ids[1:], strict=False):
                 row = own.setdefault(a, {})
                 row[b] = row.get(b, 0) + 1
             self.pairs.append(own)
 
+    def state(self, prefix: list[int]) -> int:
+        return prefix[-1] if prefix else 0
+
     def private(self, prefix: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        last = prefix[-1] if prefix else 0
-        rows = np.repeat(self.table[last][None, :], len(self.pairs), axis=0)
+        last = self.state(prefix)
+        rows = np.repeat(self.model.row(last)[None, :], len(self.pairs), axis=0)
         for row, own in zip(rows, self.pairs, strict=True):
             for token, n in own.get(last, {}).items():
-                row[token] += self.beta * math.log1p(n)
+                row[token] += self.model.beta * math.log1p(n)
         return rows, self.multiplicity
 
     def public(self, prefix: list[int]) -> np.ndarray:
-        return self.table[prefix[-1] if prefix else 0]
+        return self.model.row(self.state(prefix))
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids if self.tokens[i] not in (EOS, UNKNOWN)).strip()
+        return " ".join(self.model.tokens[i] for i in ids if self.model.tokens[i] not in (EOS, UNKNOWN)).strip()
 
 
 def softmax(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
@@ -167,6 +234,20 @@ class Draws:
         return int(np.searchsorted(total, math.floor(self.uniform(*counters) * total[-1]), side="right"))
 
 
+class SystemDraws(Draws):
+    """Uniforms from the operating system; what they were drawn for does not matter, and nobody can draw them again."""
+
+    def __init__(self):
+        self.source = secrets.SystemRandom()
+
+    def uniform(self, *counters) -> float:
+        return self.source.random()
+
+
+def draws_of(s: Settings, batch: str) -> Draws:
+    return SystemDraws() if s.seed is None else Draws(s.seed, batch)
+
+
 @dataclass(frozen=True)
 class Example:
     ids: tuple[int, ...]
@@ -174,6 +255,21 @@ class Example:
     n_public: int
 
 
+def signals(backend: LogitBackend, prefix: list[int], s: Settings) -> tuple[np.ndarray, np.ndarray | None, float]:
+    """Clipped aggregate, public logits and private-public distance after a prefix, remembered by the backend's state."""
+    state = backend.state(prefix) if hasattr(backend, "state") else None
+    memory = backend.__dict__.setdefault("_signals", {}) if state is not None else {}
+    if (state, s) not in memory:
+        rows, weight = backend.private(prefix)
+        shown = backend.public(prefix) if s.gated or s.top_k > 0 else None
+        distance = math.inf
+        if s.gated:
+            mean = (softmax(rows) * weight[:, None]).sum(axis=0) / s.batch_size
+            distance = float(np.abs(mean - softmax(shown)).sum())
+        memory[state, s] = clipped_mean(rows, weight, s.clip, s.batch_size), shown, distance
+    return memory[state, s]
+
+
 def generate_example(backend: LogitBackend, draws: Draws, s: Settings, budget: int, number: int) -> Example:
     """Tokens until <eos> (which counts), the length limit, or the private budget is spent.
 
@@ -189,16 +285,11 @@ def generate_example(backend: LogitBackend, draws: Draws, s: Settings, budget: i
 
     bar = threshold() if s.gated else 0.0
     while private < budget and len(ids) < s.max_total_tokens:
-        rows, weight = backend.private(ids)
-        shown = backend.public(ids) if s.gated or s.top_k > 0 else None
-        spend = True
+        z, shown, distance = signals(backend, ids, s)
+        spend, tau = True, s.temperature
         if s.gated:
-            mean = (softmax(rows) * weight[:, None]).sum(axis=0) / s.batch_size
-            distance = float(np.abs(mean - softmax(shown)).sum())
             spend = distance + draws.laplace(2 * (s.svt_noise or 0.0), number, len(ids), "query") >= bar
-        if spend:
-            z, tau = clipped_mean(rows, weight, s.clip, s.batch_size), s.temperature
-        else:
+        if not spend:
             z, tau = shown, s.public_temperature
         if s.top_k > 0:
             z = keep_top(z, shown, s.top_k)
@@ -233,53 +324,88 @@ def generate_batch(backend: LogitBackend, draws: Draws, s: Settings, one=generat
 SYNTHETIC = "batch_id string, example_no int, text string, token_ids array<int>, num_private_tokens int, num_public_tokens int, num_total_tokens int"
 
 
-def generate_dataset(
-    bucketed: DataFrame, descriptors: DataFrame, vocab: DataFrame, logits: DataFrame, s: Settings, beta: float = 2.0
-) -> DataFrame:
-    """Synthetic examples of the batches in ``descriptors`` (label, bucket, batch_id), from ``bucketed`` texts.
+def generate_dataset(bucketed: DataFrame, descriptors: DataFrame, model: Model, s: Settings, mechanism=generate_example, prompts=None) -> DataFrame:
+    """Synthetic examples of the batches in ``descriptors`` (label, label_name, bucket, batch_id), from ``bucketed`` texts.
 
-    The public model (vocabulary and its square of logits) is of a set size and goes to every worker.
+    ``prompts``: a ``PromptBuilder``, rendered here if the model needs prompts.
+    The model goes to every worker; a batch is as large as its distinct texts.
     """
-    words = [r["token"] for r in vocab.orderBy("token_id").collect()]
-    table = np.array([r["logit"] for r in logits.orderBy("prev", "token").collect()]).reshape(len(words), len(words))
     counted = bucketed.groupBy("label", "bucket", "text").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.join(descriptors.select("label", "bucket", "batch_id"), ["label", "bucket"]).select("batch_id", "text", "n")
+    rows = counted.join(descriptors.select("label", "label_name", "bucket", "batch_id"), ["label", "bucket"])
+    columns = ["batch_id", "text", "n"]
+    if model.needs_prompts:
+        name = F.col("label_name")
+        rows = rows.withColumn("prompt", prompts.private(name, F.col("text"))).withColumn("public_prompt", prompts.public(name))
+        columns += ["prompt", "public_prompt"]
+    shared = bucketed.sparkSession.sparkContext.broadcast(model)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("text")
-        batch = group["batch_id"].iloc[0]
-        backend = MarkovBackend(words, table, group["text"].tolist(), group["n"].tolist(), beta)
+        of = group["batch_id"].iloc[0]
+        texts = group["text"].tolist(), group["n"].tolist()
+        batch = Batch(of, *texts, group["prompt"].tolist(), group["public_prompt"].iloc[0]) if "prompt" in group else Batch(of, *texts)
+        backend = shared.value.backend(batch)
         out = [
-            (batch, k, backend.decode(list(e.ids)), list(e.ids), e.n_private, e.n_public, len(e.ids))
-            for k, e in enumerate(generate_batch(backend, Draws(s.seed, batch), s))
+            (of, k, backend.decode(list(e.ids)), list(e.ids), e.n_private, e.n_public, len(e.ids))
+            for k, e in enumerate(generate_batch(backend, draws_of(s, of), s, mechanism))
         ]
         return pd.DataFrame(out, columns=[f.split()[0] for f in SYNTHETIC.split(", ")])
 
-    return rows.groupBy("batch_id").applyInPandas(run, SYNTHETIC)
+    return rows.select(*columns).groupBy("batch_id").applyInPandas(run, SYNTHETIC)
 
 
 class PrivateTextEngine:
-    """Facade: examples in, synthetic examples and their guarantee out."""
+    """Facade: examples in, synthetic examples and their guarantee out.
 
-    def __init__(self, dataset: str, settings: Settings, vocab_size: int = 64, alpha: float = 0.5, beta: float = 2.0, policy=None):
-        """``policy``: a ``BatchingPolicy`` in place of hash batches of the settings' size."""
-        self.dataset, self.settings, self.policy = dataset, settings, policy
-        self.vocab_size, self.alpha, self.beta = vocab_size, alpha, beta
+    ``backend`` makes the model from the public texts and a workspace, or is a
+    model already; ``mechanism`` makes one example; ``policy`` deals examples
+    into batches; ``prompts`` renders them. All have defaults.
+    """
 
-    def generate(self, examples: DataFrame, public_texts: DataFrame, ws, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(synthetic examples, descriptors); committed batches are skipped, indices stay those of the whole run."""
+    def __init__(self, dataset: str, settings: Settings, backend: Model | Callable | None = None, mechanism=generate_example, policy=None, prompts=None):
+        self.dataset, self.settings, self.mechanism, self.policy, self.prompts = dataset, settings, mechanism, policy, prompts
+        self.backend = backend or MarkovModel.learn
+
+    def model(self, public_texts: DataFrame | None, ws) -> Model:
+        return self.backend if hasattr(self.backend, "backend") else self.backend(public_texts, ws)
+
+    def describe(self, examples: DataFrame, ws) -> tuple[DataFrame, DataFrame]:
+        """(examples with buckets, stored descriptors of all batches)."""
         from veilgrain.operators import batching
 
         bucketed = self.policy(examples) if self.policy else batching.assign_buckets(examples, self.settings.batch_size)
         described = batching.describe_batches(batching.batch_table(bucketed, self.dataset), self.dataset, ws)
-        described = ws.write(described, "descriptors")
+        return bucketed, ws.write(described, "descriptors")
+
+    def generate(self, examples: DataFrame, public_texts: DataFrame | None, ws, commits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(stored synthetic examples, descriptors); committed batches are skipped, indices stay those of the whole run."""
+        from veilgrain.operators import batching
+
+        bucketed, described = self.describe(examples, ws)
         todo = described if commits is None else batching.pending(described, commits)
-        vocab = ws.write(vocabulary(public_texts, self.vocab_size), "vocabulary")
-        logits = public_logits(bigrams(public_texts, vocab), vocab.count(), self.alpha)  # a small corpus may have fewer words
-        made = generate_dataset(bucketed, todo, vocab, logits, self.settings, self.beta)
-        made = ws.write(made, "synthetic")
+        return self.generate_batches(bucketed, todo, self.model(public_texts, ws), ws), described
+
+    def generate_batches(self, bucketed: DataFrame, todo: DataFrame, model: Model, ws, name: str = "synthetic") -> DataFrame:
+        """Stored synthetic examples of the batches in ``todo``, with the fields of their descriptors.
+
+        They are stored at once: secure draws are never drawn again, so a plan that ran twice would spend twice.
+        """
+        from veilgrain.operators.protocols import TemplatePrompts
+
+        made = generate_dataset(bucketed, todo, model, self.settings, self.mechanism, self.prompts or TemplatePrompts(self.dataset))
         fields = ["batch_id", "batch_index", "total_batches", "label", "label_name", F.col("batch_size").alias("source_batch_size")]
-        return made.join(described.select(*fields), "batch_id"), described
+        return ws.write(made, name).join(todo.select(*fields), "batch_id")
+
+    def one_batch(self, model: Model, batch: Batch) -> list[tuple[str, Example]]:
+        """Texts and tokens that one batch gives, on the driver."""
+        backend = model.backend(batch)
+        return [(backend.decode(list(e.ids)), e) for e in generate_batch(backend, draws_of(self.settings, batch.batch_id), self.settings, self.mechanism)]
+
+    def one_example(self, model: Model, batch: Batch, budget: int | None = None, number: int = 0) -> tuple[str, Example]:
+        """One example of a batch within a budget, that of the settings if none is given."""
+        backend, s = model.backend(batch), self.settings
+        made = self.mechanism(backend, draws_of(s, batch.batch_id), s, s.max_private_tokens if budget is None else budget, number)
+        return backend.decode(list(made.ids)), made
 
     def realized_epsilon(self, synthetic: DataFrame, delta: float) -> float:
         """Of the dearest batch, over all rows given: pass resumed and new ones together."""
@@ -287,4 +413,4 @@ class PrivateTextEngine:
         return epsilon_value(worst * self.settings.rho, delta)
 
     def with_settings(self, **changes) -> PrivateTextEngine:
-        return PrivateTextEngine(self.dataset, replace(self.settings, **changes), self.vocab_size, self.alpha, self.beta, self.policy)
+        return PrivateTextEngine(self.dataset, replace(self.settings, **changes), self.backend, self.mechanism, self.policy, self.prompts)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrain.functions.privacy import epsilon_of_rho
+from veilgrain.functions.privacy import Accountant, ZcdpAccountant, epsilon_of_rho
 from veilgrain.operators.prefix import running
 from veilgrain.workspace import Workspace
 
@@ -18,16 +18,17 @@ def running_cost(events: DataFrame, ws: Workspace, batch: str = "batch_id", orde
     return running(events, ws, [batch], [order], sums={"running_rho": "rho"})
 
 
-def summary(events: DataFrame, delta: float, *keys: str) -> DataFrame:
-    """Counters of the accountant by ``keys``: events, private, public, rho and epsilon."""
-    total = F.sum("rho")
+def summary(events: DataFrame, delta: float, *keys: str, accountant: Accountant | None = None) -> DataFrame:
+    """Counters of the accountant by ``keys``: events, private, public, cost (``rho``) and epsilon."""
+    accountant = accountant or ZcdpAccountant()
+    total = accountant.total(F.col("rho"))
     rows = events.groupBy(*keys) if keys else events.groupBy()
     return rows.agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(F.col("rho") > 0).alias("n_private"),
         F.count_if(F.col("rho") <= 0).alias("n_public"),
         total.alias("total_rho"),
-        epsilon_of_rho(total, F.lit(delta)).alias("epsilon"),
+        accountant.guarantee(total, F.lit(delta)).alias("epsilon"),
     )
 
 

@@ -47,8 +47,8 @@ def balanced_shots(examples: DataFrame, name: str, num_shots: int, compat: bool
     return some.orderBy("label", "example_id").limit(max(num_shots, 1 if compat else 0)).drop("_r")
 
 
-def balanced_prompt(shots: DataFrame, name: str, test: DataFrame, id_col: str = "example_id") -> DataFrame:
-    """(id, prompt): the shots, rendered once, before every test text."""
+def balanced_prompt(shots: DataFrame, name: str, test: DataFrame, *keep: str) -> DataFrame:
+    """(``keep`` columns, example_id if none is named, prompt): the shots, rendered once, before every test text."""
     d = dataset(name)
     names = F.create_map(*[F.lit(x) for pair in d.label_names.items() for x in pair])
     shot = F.concat(F.lit("Text: "), F.col("text"), F.lit("\nCategory: "), names[F.col("label")], F.lit("\n\n"))
@@ -56,7 +56,7 @@ def balanced_prompt(shots: DataFrame, name: str, test: DataFrame, id_col: str =
     one = shots.agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("_shots"))  # one row of a few shots
     head = "Classify the following text into one of these categories: " + ", ".join(d.labels) + ".\n\n"
     body = F.concat(F.lit(head), F.col("_shots"), F.lit("Text: "), F.col("text"), F.lit("\nCategory:"))
-    return test.crossJoin(F.broadcast(one)).select(id_col, body.alias("prompt"))
+    return test.crossJoin(F.broadcast(one)).select(*(keep or ("example_id",)), body.alias("prompt"))
 
 
 def simple_prompt(examples: DataFrame, name: str, test: DataFrame, num_shots: int = 4, id_col: str = "example_id") -> DataFrame:

@@ -7,10 +7,15 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 
+from veilgrain.functions.privacy import Accountant
 from veilgrain.operators import batching, prompts
-from veilgrain.operators.generation import Draws, Example, LogitBackend, Settings
+from veilgrain.operators.generation import Draws, Example, LogitBackend, Model, Settings
+from veilgrain.sources.catalog import DatasetAdapter
 
-__all__ = ["BatchingPolicy", "CompletionFunction", "HashLabelBatching", "LogitBackend", "Mechanism", "PromptBuilder", "TemplatePrompts"]
+__all__ = [
+    "Accountant", "BatchingPolicy", "CompletionFunction", "DatasetAdapter", "HashLabelBatching", "LogitBackend", "Mechanism", "Model", "PromptBuilder",
+    "TemplatePrompts",
+]
 
 #: Prompts in, completions out; runs in the workers.
 CompletionFunction = Callable[[list[str]], list[str]]

@@ -21,6 +21,9 @@ def resolve_delta(delta: float | None, n: int) -> float:
     return delta
 
 
+# The keys of reports and headers, as other readers of them expect.
+
+
 def privacy_report(s: Settings, tokens: int, delta: float) -> dict:
     """Costs and guarantee of ``tokens`` private tokens in the dearest batch."""
     total = tokens * s.rho

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from veilgrain.streaming import runs
 from veilgrain.workspace import Workspace, read_table
 
 VOCABULARY, ALPHA = 64, 0.5
-SETTINGS = generation.Settings(batch_size=S, clip=4.0, temperature=1.0, svt_threshold=0.3, svt_noise=0.05, max_private_tokens=12, max_total_tokens=24)
+SETTINGS = generation.Settings(batch_size=S, clip=4.0, temperature=1.0, svt_threshold=0.3, svt_noise=0.05, max_private_tokens=12, max_total_tokens=24, seed=42)
 
 
 def _log(spark: SparkSession, sf_dir: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +155,7 @@ def markov_logits(spark, sf_dir):
 
 
 def _engine() -> generation.PrivateTextEngine:
-    return generation.PrivateTextEngine(NAME, SETTINGS, VOCABULARY, ALPHA)
+    return generation.PrivateTextEngine(NAME, SETTINGS, partial(generation.MarkovModel.learn, vocab_size=VOCABULARY, alpha=ALPHA))
 
 
 def generate_dataset(spark, sf_dir):
@@ -245,7 +247,7 @@ ORACLE_SQL = {
         WHEN contains(w, 'der') OR contains('der', w) THEN 2 WHEN contains(w, 'is') OR contains('is', w) THEN 3 ELSE -1 END AS pred FROM w""",
     "icl_eval": "WITH p AS ("
     + batch_queries.ORACLE_SQL["icl_prompt_balanced"]
-    + f"), e AS (WITH {EXAMPLES_CTE} SELECT example_id, label FROM ex) SELECT example_id, label, CAST(length(prompt) % 4 AS INTEGER) AS pred FROM p JOIN e USING (example_id) ORDER BY example_id LIMIT 500",
+    + f"), e AS (WITH {EXAMPLES_CTE} SELECT example_id, label FROM ex) SELECT example_id, label, CAST(length(prompt) % 4 AS INTEGER) AS pred FROM p JOIN e USING (example_id)",
     "vocab_build": f"WITH {_VOCAB} SELECT token_id, token, n FROM vocab",
     "bigram_counts": f"WITH {_BIGRAMS} SELECT prev, token, n FROM grams",
     "markov_logits": f"""WITH {_BIGRAMS}, g AS (SELECT CAST(a.range AS INTEGER) AS prev, CAST(b.range AS INTEGER) AS token FROM range({VOCABULARY}) a, range({VOCABULARY}) b),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,34 +28,33 @@ class Dataset:
 
 
 # Names, columns, labels and prompt texts.
-_MESSAGE = "Here are {kind}: {{label}}.\n\n{example}\n\nPlease give me another one."
 DATASETS = {
     d.name: d
     for d in (
         Dataset(
             "agnews", "text", "label", ("World", "Sports", "Business", "Sci/Tech"),
-            _MESSAGE.format(kind="texts with News Type", example="Text: {example}"), "Text:",
+            "Here are texts with News Type: {label}.\n\nText: {example}\n\nPlease give me another one.", "Text:",
             "Officials announced new policy changes effective immediately.",
         ),
         Dataset(
             "trec", "text", "coarse_label", ("Abbreviation", "Entity", "Description", "Human", "Location", "Number"),
-            _MESSAGE.format(kind="questions with Answer Type", example="```\nText: {example}\n```"), "```\nQuestion:",
+            "Here are questions with Answer Type: {label}.\n\n```\nText: {example}\n```\n\nPlease give me another one.", "```\nQuestion:",
             "What is the capital of France?",
         ),
         Dataset(
             "dbpedia", "content", "label",
             ("Company", "School", "Artist", "Athlete", "Politician", "Transportation", "Building", "Nature", "Village", "Animal", "Plant", "Album", "Film", "Book"),
-            _MESSAGE.format(kind="entries of Category", example="Entry: {example}"), "Entry:",
+            "Here are entries of Category: {label}.\n\nEntry: {example}\n\nPlease give me another one.", "Entry:",
             "The Springfield Institute is a research organization founded in 1952 and based in the United States.",
         ),
         Dataset(
             "imdb", "text", "label", ("Negative", "Positive"),
-            _MESSAGE.format(kind="texts with Sentiment", example="Text: {example}"), "Text:",
+            "Here are texts with Sentiment: {label}.\n\nText: {example}\n\nPlease give me another one.", "Text:",
             "This film was a solid effort with strong performances from the entire cast.",
         ),
         Dataset(
             "yelp", "text", "label", ("Negative", "Positive"),
-            _MESSAGE.format(kind="texts with Sentiment", example="Text: {example}"), "Text:",
+            "Here are texts with Sentiment: {label}.\n\nText: {example}\n\nPlease give me another one.", "Text:",
             "The service was prompt and the food arrived fresh.",
         ),
     )
@@ -84,7 +84,11 @@ def load_examples(
 ) -> DataFrame:
     """(example_id, text, label) of ``<path>/<split>``, columns renamed to the fixed ones.
 
-    With ``num_examples`` below the row count, that many are drawn in the order of a keyed hash.
+    Every row has an id of its own, equal rows too. In Parquet it is the number
+    of its file, in order of names, and its place there (2 ** 40 rows a file):
+    the same whenever these files are read. Other formats number rows as they
+    are read. With ``num_examples`` below the row count, that many are drawn in
+    the order of a keyed hash.
     """
     if split not in ("train", "test"):
         raise ValueError(f"unknown split {split!r}; choose train or test")
@@ -94,11 +98,46 @@ def load_examples(
     if format in ("json", "csv"):
         reader = reader.schema(source).option("header", format == "csv")
     raw = reader.load(f"{path}/{split}")
-    rows = raw.select(F.col(d.text_column).cast("string").alias("text"), F.col(d.label_column).cast("int").alias("label"))
-    rows = rows.select(F.xxhash64("label", "text").alias("example_id"), "text", "label")
+    fields = F.col(d.text_column).cast("string").alias("text"), F.col(d.label_column).cast("int").alias("label")
+    if format == "parquet":
+        files = sorted(raw.inputFiles())
+        numbers = spark.createDataFrame(list(enumerate(f.rsplit("/", 1)[-1] for f in files)), "file_no long, file string")
+        if numbers.select("file").distinct().count() < len(files):
+            raise ValueError(f"files of one name in different folders below {path}/{split}")
+        placed = raw.select(*fields, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+        # A row for each file, as the driver lists them anyway.
+        rows = placed.join(F.broadcast(numbers), "file").select((F.shiftleft("file_no", 40) + F.col("at")).alias("example_id"), "text", "label")
+    else:
+        rows = raw.select(F.monotonically_increasing_id().alias("example_id"), *fields)
     return rows if num_examples is None else subsample(rows, num_examples, seed)
 
 
+class DatasetAdapter(Protocol):
+    """Where examples come from: a name, its labels, and a load of one split as (example_id, text, label)."""
+
+    name: str
+    label_names: dict[int, str]
+
+    def load(self, spark: SparkSession, split: str, num_examples: int | None = None) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class FileAdapter:
+    """A dataset of the catalog in files below a folder."""
+
+    name: str
+    path: str
+    format: str = "parquet"
+    seed: int = 42
+
+    @property
+    def label_names(self) -> dict[int, str]:
+        return dataset(self.name).label_names
+
+    def load(self, spark: SparkSession, split: str, num_examples: int | None = None) -> DataFrame:
+        return load_examples(spark, self.name, self.path, split, num_examples, self.seed, self.format)
+
+
 def subsample(rows: DataFrame, n: int, seed: int, id_col: str = "example_id") -> DataFrame:
     """``n`` rows in the order of a hash keyed by ``seed``, ties by id; all rows if there are no more (a top-n, no full sort)."""
     return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")), 256), id_col).limit(n)

@@ -137,6 +137,11 @@ class BatchTable:
         done = descriptors.withColumn("attempt", F.lit(attempt)).withColumn("committed_at", F.current_timestamp())
         done.write.mode("append").parquet(f"{self.path}/commits")
 
+    def exists(self) -> bool:
+        """Whether anything has been committed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def commits(self) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/commits")
         first = rows.groupBy("batch_id").agg(F.min(F.struct("committed_at", "attempt")).alias("c"))
