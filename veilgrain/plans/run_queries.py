@@ -159,8 +159,9 @@ def _engine() -> generation.PrivateTextEngine:
 
 
 def generate_dataset(spark, sf_dir):
+    """Every batch's examples; token ids as one string."""
     made, _ = _engine().generate(examples(spark, sf_dir), _public(spark, sf_dir), Workspace(spark, "generate"))
-    return made
+    return made.withColumn("token_ids", F.array_join(F.col("token_ids").cast("array<string>"), ","))
 
 
 def generate_resumed(spark, sf_dir):
@@ -224,6 +225,75 @@ _BIGRAMS = f"""{_VOCAB}, framed AS (SELECT list_concat(list_concat(['<eos>'], re
 pairs AS (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM framed),
 grams AS (SELECT coalesce(x.token_id, 1) AS prev, coalesce(y.token_id, 1) AS token, count(*) AS n
           FROM pairs LEFT JOIN vocab x ON x.token = a LEFT JOIN vocab y ON y.token = b GROUP BY ALL)"""
+
+
+def _draw(number: str, at: str, what: str) -> str:
+    """The uniform of one counter of a batch."""
+    return f"(('0x' || substr(sha256('{SETTINGS.seed}|' || batch_id || '|' || {number} || '|' || {at} || '|{what}'), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _noise(scale: float, number: str, at: str, what: str) -> str:
+    centred = f"(greatest({_draw(number, at, what)}, 1.1102230246251565e-16) - 0.5)"
+    return f"(-{scale!r} * sign({centred}) * ln(1 - 2 * abs({centred})))"
+
+
+def walk_sql(budget: int = SETTINGS.max_private_tokens) -> str:
+    """CTEs that generate every batch token by token; ``made`` has a row for each example.
+
+    ``steps`` holds, for each batch and previous token, the distance and the cumulative
+    weights of the private and of the public draw; ``walk`` goes through them.
+    """
+    s = SETTINGS
+
+    def cums(z: str, tau: float) -> str:
+        weight = f"CAST(round(exp(({z} - top) / {tau!r}) / sum(exp(({z} - top) / {tau!r})) OVER part * 1099511627776.0) AS BIGINT)"
+        return f"SELECT *, {weight} AS w FROM (SELECT *, max({z}) OVER part AS top FROM {{source}} WINDOW part AS (PARTITION BY {{keys}})) WINDOW part AS (PARTITION BY {{keys}})"
+
+    def lists(z: str, tau: float, source: str, keys: str) -> str:
+        inner = cums(z, tau).format(source=source, keys=keys)
+        summed = f"SELECT {keys}, token, CAST(sum(w) OVER (PARTITION BY {keys} ORDER BY token) AS BIGINT) AS c FROM ({inner})"
+        return f"SELECT {keys}, list(c ORDER BY token) AS cums, max(c) AS total FROM ({summed}) GROUP BY {keys}"
+
+    bar = f"{s.svt_threshold!r} + {_noise(s.svt_noise, '{n}', '{at}', 'threshold')}"
+    return f"""{BATCHES_CTE}, {_BIGRAMS},
+totals AS (SELECT prev, sum(n) AS total FROM grams GROUP BY prev),
+pub AS MATERIALIZED (SELECT a.token_id AS prev, b.token_id AS token, ln((coalesce(g.n, 0) + {ALPHA}) / (coalesce(total, 0) + {ALPHA} * (SELECT count(*) FROM vocab))) AS z
+  FROM vocab a CROSS JOIN vocab b LEFT JOIN grams g ON g.prev = a.token_id AND g.token = b.token_id LEFT JOIN totals t ON t.prev = a.token_id),
+own_words AS (SELECT example_id, list_concat(list_concat(['<eos>'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')), ['<eos>']) AS w FROM ex),
+own_pairs AS (SELECT example_id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM own_words),
+own AS (SELECT example_id, coalesce(x.token_id, 1) AS prev, coalesce(y.token_id, 1) AS token, count(*) AS n
+  FROM own_pairs LEFT JOIN vocab x ON x.token = a LEFT JOIN vocab y ON y.token = b GROUP BY ALL),
+of AS (SELECT example_id, batch_id FROM bucketed b JOIN grouped USING (label, bucket)),
+raised AS (SELECT of.batch_id, of.example_id, p.prev, p.token, p.z + 2.0 * ln(1 + coalesce(o.n, 0)) AS z FROM of CROSS JOIN pub p LEFT JOIN own o USING (example_id, prev, token)),
+topped AS (SELECT *, max(z) OVER (PARTITION BY example_id, prev) AS top FROM raised),
+parts AS (SELECT *, greatest(-{s.clip!r}, z - top + {s.clip!r}) AS clipped, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY example_id, prev) AS p FROM topped),
+zbar AS MATERIALIZED (SELECT batch_id, prev, token, sum(clipped) / {s.batch_size}.0 AS z, sum(p) / {s.batch_size}.0 AS p FROM parts GROUP BY ALL),
+shown AS (SELECT prev, token, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY prev) AS q FROM (SELECT *, max(z) OVER (PARTITION BY prev) AS top FROM pub)),
+far AS (SELECT batch_id, prev, sum(abs(p - q)) AS distance FROM zbar JOIN shown USING (prev, token) GROUP BY ALL),
+steps AS MATERIALIZED (SELECT f.batch_id, f.prev, distance, a.cums AS acums, a.total AS atotal, b.cums AS bcums, b.total AS btotal FROM far f
+  JOIN ({lists('z', s.temperature, 'zbar', 'batch_id, prev')}) a ON a.batch_id = f.batch_id AND a.prev = f.prev JOIN ({lists('z', s.public_temperature, 'pub', 'prev')}) b ON b.prev = f.prev),
+walk AS (
+  SELECT batch_id, 0 AS number, 0 AS spot, 0 AS prev, {bar.format(n="0", at="0")} AS bar, 0 AS spent, 0 AS private, 0 AS idle, -1 AS token, false AS cost, false AS ended, -1 AS example FROM grouped
+  UNION ALL
+  SELECT batch_id, CASE WHEN ends THEN number + 1 ELSE number END, CASE WHEN ends THEN 0 ELSE spot + 1 END, CASE WHEN ends THEN 0 ELSE picked END,
+    CASE WHEN ends THEN {bar.format(n="(number + 1)", at="0")} WHEN pays THEN {bar.format(n="number", at="(spot + 1)")} ELSE bar END,
+    CASE WHEN ends THEN spent + paid ELSE spent END, CASE WHEN ends THEN 0 ELSE paid END,
+    CASE WHEN NOT ends THEN idle WHEN paid > 0 THEN 0 ELSE idle + 1 END, picked, pays,
+    ends AND (spent + paid >= {budget} OR number + 1 >= {max(budget, 10)} OR (paid = 0 AND idle = 2)), number
+  FROM (SELECT *, private + CASE WHEN pays THEN 1 ELSE 0 END AS paid, picked = 0 OR spot + 1 = {s.max_total_tokens} OR private + CASE WHEN pays THEN 1 ELSE 0 END >= {budget} - spent AS ends
+    FROM (SELECT *, CAST(CASE WHEN pays THEN len(list_filter(acums, lambda c: c <= floor(u * atotal))) ELSE len(list_filter(bcums, lambda c: c <= floor(u * btotal))) END AS INTEGER) AS picked
+      FROM (SELECT w.* EXCLUDE (token, cost, ended, example), x.* EXCLUDE (batch_id, prev), distance + {_noise(2 * s.svt_noise, 'number', 'spot', 'query').replace('batch_id', 'w.batch_id')} >= bar AS pays,
+          {_draw('number', 'spot', 'token').replace('batch_id', 'w.batch_id')} AS u
+        FROM walk w JOIN steps x ON x.batch_id = w.batch_id AND x.prev = w.prev WHERE NOT ended)))
+),
+tokens AS (SELECT batch_id, example, row_number() OVER (PARTITION BY batch_id, example ORDER BY place) AS i, token, cost
+  FROM (SELECT *, CASE WHEN number > example THEN 1000000 ELSE spot END AS place FROM walk WHERE example >= 0)),
+made AS (SELECT batch_id, example AS example_no, string_agg(CAST(t.token AS VARCHAR), ',' ORDER BY i) AS token_ids,
+    coalesce(string_agg(v.token, ' ' ORDER BY i) FILTER (t.token > 1), '') AS text, CAST(count(*) FILTER (cost) AS INTEGER) AS num_private_tokens,
+    CAST(count(*) FILTER (NOT cost) AS INTEGER) AS num_public_tokens, CAST(count(*) AS INTEGER) AS num_total_tokens
+  FROM tokens t JOIN vocab v ON v.token_id = t.token GROUP BY ALL)"""
+
+
 _FIELDS = "batch_id, batch_index, total_batches, label, label_name, batch_size"
 
 ORACLE_SQL = {
@@ -254,6 +324,14 @@ ORACLE_SQL = {
         t AS (SELECT prev, sum(n) AS total FROM grams GROUP BY prev)
         SELECT prev, token, round(ln((coalesce(n, 0) + {ALPHA}) / (coalesce(total, 0) + {ALPHA * VOCABULARY})), 9) AS logit
         FROM g LEFT JOIN grams USING (prev, token) LEFT JOIN t USING (prev)""",
+    "generate_dataset": f"""WITH RECURSIVE {walk_sql()} SELECT batch_id, example_no, text, token_ids, num_private_tokens, num_public_tokens, num_total_tokens,
+        batch_index, total_batches, label, label_name, batch_size AS source_batch_size FROM made JOIN described USING (batch_id)""",
+    "generate_resumed": f"""WITH RECURSIVE {walk_sql()} SELECT batch_index, count(*) AS n_examples, CAST(sum(num_private_tokens) AS BIGINT) AS n_private
+        FROM made JOIN described USING (batch_id) WHERE batch_index % 3 = 0 GROUP BY batch_index""",
+    "generated_stats": f"""WITH RECURSIVE {walk_sql()} SELECT count(*) AS num_examples, CAST(sum(num_total_tokens) AS BIGINT) AS total_tokens,
+        sum(num_total_tokens) / count(*) AS mean_tokens_per_example, CAST(sum(num_private_tokens) AS BIGINT) AS total_private_tokens,
+        CAST(sum(num_public_tokens) AS BIGINT) AS total_public_tokens, sum(num_public_tokens) / greatest(1, sum(num_total_tokens)) AS public_token_fraction,
+        CAST(max(num_private_tokens) AS BIGINT) AS max_private_tokens_in_example FROM made""",
     "streaming_accountant": ledger_queries.ORACLE_SQL["accountant_summary"].replace("count(*) FILTER (rho <= 0) AS n_public,", ""),
     "streaming_budget_guard": f"""SELECT user_id AS batch_id, round(least(p, 10) * CAST('{ledger_queries.RHO!r}' AS DOUBLE), 9) AS spent, greatest(p - 10, 0) AS refused
         FROM (SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup', 'error')) AS p FROM events GROUP BY user_id)""",
