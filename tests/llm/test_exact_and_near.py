@@ -282,3 +282,43 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t")).collect()}
     roots = union_find(600, edges)
     assert all(found.get(k, k) == roots[k] for k in range(600))
+
+
+def test_recall_at_similarity_four_fifths_on_whole_documents(spark, sf):
+    """Every document of the larger small table: the components are those of all pairs at 0.8 or more."""
+    rows = [(r["doc_id"], r["text"]) for r in read_table(spark, sf.replace("sf0.001", "sf0.01"), "documents").select("doc_id", "text").collect()]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    held = {}
+    for k, own in enumerate(sets):
+        for h in own.tolist():
+            held.setdefault(h, []).append(k)
+    shared = {}
+    for docs in held.values():
+        for a in docs:
+            for b in docs:
+                if a < b:
+                    shared[a, b] = shared.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    roots, least, size = union_find(len(rows), pairs), {}, {}
+    for root, (i, _) in zip(roots, rows):
+        least[root], size[root] = min(least.get(root, i), i), size.get(root, 0) + 1
+    expected = {i: least[root] for root, (i, _) in zip(roots, rows) if size[root] > 1}
+    docs = docs_of(spark, rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs, Workspace(spark, "t")).collect()}
+    assert len(pairs) > 20 and found == expected
+
+
+def test_pairs_of_min_hashes_find_similar_sets():
+    """Of sets at similarity 0.8 all but a few in ten thousand share a pair; of those at a tenth, few do."""
+    rng = np.random.default_rng(4)
+
+    def met(shared, own, times):
+        hits = 0
+        for _ in range(times):
+            all_ = rng.integers(0, 2**63, shared + 2 * own, dtype=np.uint64)
+            a, b = np.concatenate([all_[:shared], all_[shared : shared + own]]), np.concatenate([all_[:shared], all_[shared + own :]])
+            bands = [[simhash.mixed(x, 100 + k).view(np.uint32).reshape(-1, 2).min(axis=0) for k in range(simhash.BANDS)] for x in (a, b)]
+            hits += any((x == y).all() for x, y in zip(*bands))
+        return hits / times
+
+    assert met(160, 20, 1000) > 0.995 and met(20, 90, 1000) < 0.2

@@ -18,23 +18,30 @@ Near copies in the sense of a shingle similarity of 0.8 differ in far more bits
 than three, beyond what equal bit blocks can find. ``drop_near_copies`` and
 ``similar_components`` therefore use 256-bit fingerprints of five-word shingles
 (the XXH64 mixed three times more), radius ``WIDE_RADIUS``, and take the
-buckets from ``SKETCHES`` min-hashes of the same shingles: two texts of
-similarity 0.8 share none of six with probability 0.2 ** 6. Like the similarity,
-they count a repeated shingle once. The components so
-found are only groups of candidates; inside each, two documents are linked if
+buckets from ``BANDS`` pairs of min-hashes of the same shingles: two texts of
+similarity 0.8 share a pair with probability 0.64, and none of ten with 0.36 **
+10. A passage that many texts share, and that is a tenth of each, brings only a
+hundredth of them into its buckets, by the pairs of its shingles; with single
+min-hashes it would be a tenth in one bucket for each of its shingles. Like the
+similarity, fingerprints and pairs count a repeated shingle once. The components
+so found are only groups of candidates; inside each, two documents are linked if
 the exact similarity of their sets of shingles (64-bit hashes) is ``SIMILAR``
 or more.
 
 Buckets that span partitions are finished afterwards: with the components found
 so far (the ten tables deal them differently, so they usually are complete),
 only fingerprints outside the bucket's prevailing component are compared with
-the other parts of the bucket.
+the other parts of the bucket. A partition has two ends, so there are fewer
+such buckets than partitions; their keys are sent to the rows, never the rows
+to one task by such a key.
 
 Defined cases: lower case is A-Z only; a null, empty or wordless text has
 fingerprint zero and links like any other (256 bits: it has no buckets and
 links to nothing); fewer words than a shingle are one
 shingle. A null doc_id never becomes a component id unless all ids of the
-component are null, when it is null. Repeated rows each get a row.
+component are null, when it is null. Repeated rows each get a row. An empty
+table gives an empty one; very long texts are taken whole; other columns are
+kept by ``drop_near_copies`` and not read by the rest, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,9 +63,9 @@ RADIUS = 3
 #: Bit blocks; any two of them must agree: RADIUS differing bits leave at least two untouched.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = [sum(((1 << n) - 1) << at for at, n in pair) for pair in combinations(BLOCKS, 2)]
-#: 64-bit words, radius and min-hashes of the wide fingerprints. 64 of 256 bits
+#: 64-bit words and radius of the wide fingerprints, and pairs of min-hashes. 64 of 256 bits
 #: is an angle of 45 degrees; texts of similarity 0.8 are at 27 degrees or less.
-WIDE, WIDE_RADIUS, SKETCHES = 4, 64, 6
+WIDE, WIDE_RADIUS, BANDS = 4, 64, 10
 #: Least similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Times a group of candidates is dealt, bytes of shingles in a partition, and in one packed part of a spanning group.
@@ -117,10 +124,14 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def wide_fingerprint(text: str | None, width: int) -> tuple[list[int], list[int]]:
-    """``WIDE`` unsigned words of fingerprint, and ``SKETCHES`` min-hashes (none for no words), of the set of shingles."""
+    """``WIDE`` unsigned words of fingerprint, and ``BANDS`` pairs of min-hashes (none for no words), of the set of shingles."""
     hashes = np.unique(shingle_hashes(text, width))
     words = [majority(mixed(hashes, k) if k else hashes) for k in range(WIDE)]
-    return words, [int(mixed(hashes, 100 + k).min()) for k in range(SKETCHES)] if len(hashes) else []
+    bands = []
+    for k in range(BANDS if len(hashes) else 0):  # each half of a mixed hash is a hash of its own
+        halves = mixed(hashes, 100 + k).view(np.uint32).reshape(-1, 2).min(axis=0)
+        bands.append(int(halves[0]) << 32 | int(halves[1]))
+    return words, bands
 
 
 def _long(x: int) -> int:
@@ -336,6 +347,7 @@ def _packed(rows: DataFrame, words: int, name: str) -> DataFrame:
 def _finish_spanning(edge_rows: DataFrame, links: DataFrame, words: int, radius: int, ws: Workspace) -> DataFrame | None:
     """Links that buckets cut by a partition boundary still lack; None if there can be none."""
     spanning = edge_rows.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("t", "key")
+    spanning = F.broadcast(ws.write(spanning, "spanning_keys"))  # fewer than partitions
     labels = connected_components(links, ws, "first").withColumnRenamed("root", "label")
     rows = edge_rows.join(spanning, ["t", "key"]).join(labels, "node", "left")
     fields = [f"f{k}" for k in range(words)]
@@ -346,10 +358,12 @@ def _finish_spanning(edge_rows: DataFrame, links: DataFrame, words: int, radius:
     if not unsettled.limit(1).count():
         return None
     # One partition's share of a bucket stays one part, so no bucket is gathered in a task.
-    spread = rows.join(unsettled, ["t", "key"]).repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
-    asked = _packed(spread.filter("label <> main"), words, "asked")
+    opened = rows.join(F.broadcast(unsettled), ["t", "key"])
+    spread = opened.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
+    parts = F.broadcast(ws.write(opened.select("t", "key", F.col("part").cast("long").alias("other_part")).distinct(), "parts"))  # two a partition
+    asked = _packed(spread.filter("label <> main"), words, "asked").join(parts, ["t", "key"]).filter("part <> other_part")
     others = _packed(spread, words, "others").withColumnRenamed("part", "other_part")
-    pairs = asked.join(others, ["t", "key"]).filter("part <> other_part").select("asked", "others")
+    pairs = asked.join(others, ["t", "key", "other_part"]).select("asked", "others")
     return pairs.repartition(F.xxhash64("asked", "others")).mapInArrow(_cross_links(words, radius), "a long, b long")
 
 
@@ -495,9 +509,11 @@ def _packed_sets(rows: DataFrame, name: str) -> DataFrame:
                 for s, e in spans
             ]
             kind = pa.struct([(c, pa.binary()) for c in ("nodes", "labels", "sizes", "shingles")])
-            yield pa.RecordBatch.from_arrays([pa.array([own[s, 0] for s, _ in spans], pa.int64()), pa.array(value, kind)], names=["key", name])
+            keys = [pa.array([own[s, k] for s, _ in spans], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(value, kind)], names=["key", "part", name])
 
-    return rows.select("key", "part", "node", "label", "shingles").mapInArrow(pack, f"key long, {name} struct<nodes:binary,labels:binary,sizes:binary,shingles:binary>")
+    packed = f"key long, part long, {name} struct<nodes:binary,labels:binary,sizes:binary,shingles:binary>"
+    return rows.select("key", F.col("part").cast("long").alias("part"), "node", "label", "shingles").mapInArrow(pack, packed)
 
 
 def _cross_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -539,20 +555,23 @@ def exact_components(sets: DataFrame, ws: Workspace) -> DataFrame:
     links = compared.filter("b IS NOT NULL").select(F.col("node").alias("a"), "b")
     edge = compared.filter("b IS NULL").drop("b")
     spanning = edge.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key").distinct()
-    # A group is settled if it is whole in one deal; the rest go on with the rows of the first deal.
-    whole = rows.filter("t = 0").join(F.broadcast(spanning) if spanning.count() <= BROADCAST_IDS else spanning, "key")
+    # A group is settled if it is whole in one deal; the rest, fewer than partitions, go on with the rows of the first deal.
+    spanning = F.broadcast(ws.write(spanning, "set_spanning_keys"))
     labels = connected_components(links, ws, "set_first").withColumnRenamed("root", "label")
-    whole = ws.write(whole.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "shingles"), "set_spanning")
+    whole = rows.filter("t = 0").join(spanning, "key").join(labels, "node", "left")
+    whole = ws.write(whole.select("key", "node", F.coalesce("label", "node").alias("label"), "shingles"), "set_spanning")
     main = whole.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
     unsettled = ws.write(main.filter("n > 1").select("key", "main"), "set_unsettled")
     if unsettled.limit(1).count():
-        open_rows = whole.join(unsettled, "key")
-        sides = []
-        for name, side in (("asked", open_rows.filter("label <> main")), ("others", open_rows)):
-            size = side.groupBy("key").agg(F.sum(F.length("shingles")).alias("_bytes"))
-            side = side.join(size, "key").withColumn("part", F.expr(f"pmod(xxhash64(node), 1 + _bytes div {SET_PART})"))
+        opened = whole.join(F.broadcast(unsettled), "key")
+        sides, parts = [], f"1 + _bytes div {SET_PART}"
+        for name, side in (("asked", opened.filter("label <> main")), ("others", opened)):
+            size = ws.write(side.groupBy("key").agg(F.sum(F.length("shingles")).alias("_bytes")), f"set_{name}_bytes")
+            side = side.join(F.broadcast(size), "key").withColumn("part", F.expr(f"pmod(xxhash64(node), {parts})"))
             sides.append(_packed_sets(side.repartition("key", "part").sortWithinPartitions("key", "part"), name))
-        pairs = sides[0].join(sides[1], "key").select("asked", "others")
+        # Each packed part of stragglers is sent to every part of its group, by group and part.
+        asked = sides[0].drop("part").join(F.broadcast(size), "key").withColumn("part", F.explode(F.expr(f"sequence(0L, _bytes div {SET_PART})")))
+        pairs = asked.join(sides[1], ["key", "part"]).select("asked", "others")
         pairs = pairs.repartition(F.xxhash64("asked.nodes", "others.nodes"))
         links = links.unionByName(ws.write(pairs.mapInArrow(_cross_sets, "a long, b long"), "set_cross"))
     return connected_components(links, ws, "set_all")
@@ -573,7 +592,7 @@ def similar_components(docs: DataFrame, ws: Workspace, width: int = 5, id_col: s
     found = ws.write(wide_fingerprints(docs, width, id_col, text_col), "wide")
     fields = [f"f{k}" for k in range(WIDE)]
     rows = found.select(F.posexplode("sketch").alias("t", "key"), F.col(id_col).cast("long").alias("node"), *fields)
-    groups = ws.write(components_of(rows, found.count() * SKETCHES, WIDE, WIDE_RADIUS, ws), "candidates")
+    groups = ws.write(components_of(rows, found.count() * BANDS, WIDE, WIDE_RADIUS, ws), "candidates")
     roots = exact_components(ws.write(shingle_sets(docs, groups, width, id_col, text_col), "sets"), ws)
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
