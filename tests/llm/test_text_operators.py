@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,18 +89,19 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     rows += [(10 + k, rng.choice(["", "--"]) + rng.choice([" ", ", ", "\n"]).join(rng.choice(vocab) for _ in range(rng.randrange(60))), "a") for k in range(40)]
     rows.append(rows[5])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (1 << 26, 200):
+    for limit in (1 << 26, 3000):
         found = decontaminate.find_passages(docs_of(spark, rows), bench, max_automaton_bytes=limit).collect()
         got = sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in found)
         named = [(i, t) for i, t in items if i is not None]
         want = sorted((i, *brute_hits(t, named)[:2], tuple(sorted(brute_hits(t, named)[2]))) for i, t, _ in rows)
         assert got == want
+    for most in (1 << 26, 3000):
+        kept = decontaminate.drop_contaminated(docs_of(spark, rows), bench, max_automaton_bytes=most)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t, _ in rows if not brute_hits(t, named)[1])
     for r in found:
         text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
         for p in r["passages"]:
             assert brute_hits(text[p["start"] : p["end"]], [(i, t) for i, t in named if i == p["item_id"]])[2] == {p["item_id"]}
-    kept = decontaminate.drop_contaminated(docs_of(spark, rows), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t, _ in rows if not brute_hits(t, named)[1])
 
 
 def test_decontamination_of_nothing(spark):
@@ -203,8 +205,35 @@ def test_warc_round_trip(spark):
 
 
 def test_reads_are_coalesced():
-    assert warc.coalesce([(0, 10), (10, 5), (200_000, 5)], gap=100) == [(0, 15, [0, 1]), (200_000, 200_005, [2])]
-    assert warc.coalesce([(0, 10), (10, 10)], most=15) == [(0, 10, [0]), (10, 20, [1])]
+    def reads(ranges, **limits):
+        return [(f, s, e, [o for o, _ in held]) for f, s, e, held in warc.coalesced(iter(ranges), **limits)]
+
+    assert reads([("a", 0, 10), ("a", 10, 5), ("a", 200_000, 5), ("b", 200_005, 5)], gap=100) == [("a", 0, 15, [0, 10]), ("a", 200_000, 200_005, [200_000]), ("b", 200_005, 200_010, [200_005])]
+    assert reads([("a", 0, 10), ("a", 10, 10)], most=15) == [("a", 0, 10, [0]), ("a", 10, 20, [10])]
+    assert reads([]) == [] and reads([("a", 0, 10), ("a", 0, 10)]) == [("a", 0, 10, [0, 0])]
+
+
+def test_stores_are_named_as_pyarrow_does(tmp_path):
+    store, path = warc.open_uri(f"file://{tmp_path}")
+    assert store.type_name == "local" and path == str(tmp_path)
+    with pytest.raises(Exception, match="nosuch"):
+        warc.open_uri("nosuch://bucket/x")
+    assert warc.SCHEMES["s3a"] == "s3"
+
+
+def test_warc_extra_columns_and_another_store(spark):
+    rows = [(1, "u", "<p>a", "f", 1), (2, "u", "<p>a", "f", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, keep long").withColumn("sha", F.lit("x"))
+
+    def opened(folder):
+        from pyarrow import fs
+
+        return fs.SubTreeFileSystem("/", fs.LocalFileSystem()), folder.removeprefix("file://")
+
+    ws = Workspace(spark, "t")
+    index = warc.write_archives(pages, f"{ws.path}/w", ws, open_store=opened)
+    got = warc.read_records(index, f"{ws.path}/w", open_store=opened).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "revisit"), (2, "response")]
 
 
 # Toxicity

@@ -15,9 +15,12 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "secret_base_spans": secrets.secret_base_spans,
 }
 
 ORACLE_SQL = {
     "op3_warc": warc.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "secret_base_spans": secrets.ORACLE,
 }

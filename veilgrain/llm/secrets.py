@@ -388,3 +388,27 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op2_secrets`` that SQL can express: counts and digest of the base spans."""
+    return op2_secrets(spark, sf_dir).drop("spans", "n_added")
+
+
+def _base_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: matches lie between the pieces that the same pattern splits out."""
+    found = f"string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v"
+    placed = f"SELECT r, i, v[i] AS value, len(m[i]) AS size, len(g[i]) + len(m[i]) AS step FROM (SELECT r, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, {found} FROM d))"
+    ends = f"SELECT *, CAST(sum(step) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e FROM ({placed})"
+    return f"SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS rank, e - size AS s, e FROM ({ends}) WHERE len(value) >= {least}"
+
+
+_ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_base_sql("assign", _ANY_CASE + "[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)", 2, MIN_ASSIGN)}
+  UNION ALL {_base_sql("access", "AKIA[A-Z0-9]+", 0, MIN_ACCESS)} UNION ALL {_base_sql("hex", "[0-9a-f]+", 0, MIN_HEX)}),
+joined AS (SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS base
+  FROM spans GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN joined USING (r)
+"""

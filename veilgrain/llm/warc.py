@@ -7,9 +7,14 @@ another name, and the stored index names only those of the attempt that
 counted, so lost executors leave at most unreferenced files.
 
 Reading: the records wanted are index rows. They are range-partitioned and
-sorted by (file, offset), so each task sees neighbours together, coalesces
-their byte ranges (gaps up to ``GAP``, reads up to ``READ_BYTES``) and parses
-the records out of each read.
+sorted by (file, offset), as many partitions as their bytes fill, so each task
+sees neighbours together, coalesces their byte ranges (gaps up to ``GAP``, reads
+up to ``READ_BYTES``) and parses the records out of each read.
+
+Python workers open the archives' folder by its URI. Names that Hadoop has for
+object stores (``s3a``, ``wasbs`` and the like) are turned into those pyarrow
+has; for any other store pass ``open_store``, which makes a pyarrow file system
+and a path of the folder's URI.
 
 Of records with equal payloads of at least ``min_bytes`` bytes, that with the
 largest page_id is the response; the others are revisits of it without a block.
@@ -19,6 +24,8 @@ more than one row are joined back, so texts move only if those are many.
 Defined cases: a null payload is the empty one; a null page_id is smallest, is
 written as an empty id, and rows that repeat the response's id are responses
 too; null URLs are written as an empty target. Payloads are of any length.
+An empty table writes no archive and reads as one; repeated rows are records of
+their own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +45,8 @@ from veilgrain.workspace import Workspace, read_table
 
 FILE_BYTES = 64 << 20
 READ_BYTES, GAP = 8 << 20, 64 << 10
+#: Bytes of archives that one task should read.
+TASK_BYTES = 256 << 20
 LEVEL = 3
 #: A fixed date keeps archives of the same rows alike.
 DATE = "2024-01-01T00:00:00Z"
@@ -108,16 +117,22 @@ def _gzip(raw: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def _open(folder: str):
+# Hadoop's names of object stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def open_uri(folder: str):
     """File system and path of a shared folder, in a Python worker."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder)
+    scheme, colon, rest = folder.partition(":")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest if colon else folder)
 
 
 def write_archives(
-    pages: DataFrame, folder: str, ws: Workspace, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
-) -> DataFrame:
+    pages: DataFrame, folder: str, ws: Workspace, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
+    open_store: Callable = open_uri,
+) -> DataFrame:
     """Write ``pages`` below ``folder``; the stored index, one row per record."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_or_empty(payload_col).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("html", 256)))
@@ -127,7 +142,7 @@ def write_archives(
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(folder)
+        store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         file, out, at = "", None, 0
         for batch in batches:
@@ -153,44 +168,48 @@ def write_archives(
     return ws.write(rows.mapInArrow(run, INDEX), "index")
 
 
-def coalesce(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ_BYTES) -> list[tuple[int, int, list[int]]]:
-    """Sorted (offset, length) merged into reads (start, end, members)."""
-    reads: list[tuple[int, int, list[int]]] = []
-    for k, (offset, length) in enumerate(ranges):
-        end = offset + length
-        if reads and offset - reads[-1][1] <= gap and end - reads[-1][0] <= most:
-            start, before, members = reads[-1]
-            members.append(k)
-            reads[-1] = (start, max(before, end), members)
-        else:
-            reads.append((offset, end, [k]))
-    return reads
+def coalesced(wanted: Iterator[tuple[str, int, int]], gap: int = GAP, most: int = READ_BYTES) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """Sorted (file, offset, length) merged into reads (file, start, end, their ranges) as they come."""
+    file, start, end, held = "", 0, 0, []
+    for name, offset, length in wanted:
+        if held and (name != file or offset - end > gap or offset + length - start > most):
+            yield file, start, end, held
+            held = []
+        if not held:
+            file, start, end = name, offset, offset
+        end = max(end, offset + length)
+        held.append((offset, length))
+    if held:
+        yield file, start, end, held
 
 
-def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, folder: str, with_payload: bool = True, open_store: Callable = open_uri) -> DataFrame:
     """The records that ``index`` names, parsed and checked; any subset of the index will do."""
     wanted = index.select("file", "offset", "length")
-    size = max(1, index.sparkSession.sparkContext.defaultParallelism)
-    wanted = wanted.repartitionByRange(size, "file", "offset").sortWithinPartitions("file", "offset")
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1)
+    wanted = wanted.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(folder)
-        for batch in batches:
-            by_file: dict[str, list[tuple[int, int]]] = {}
-            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by_file.setdefault(file, []).append((offset, length))
-            for file, ranges in by_file.items():
-                with store.open_input_file(f"{base}/{file}") as source:
-                    for start, end, members in coalesce(ranges):
-                        source.seek(start)
-                        raw = source.read(end - start)
-                        found = [parse(zlib.decompress(raw[ranges[k][0] - start :][: ranges[k][1]], 31)) for k in members]
-                        if not with_payload:
-                            for f in found:
-                                f["payload"] = None
-                        yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)], names=names)
+        store, base = open_store(folder)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        name, source = "", None
+        for file, start, end, ranges in coalesced(rows):
+            if file != name:
+                if source is not None:
+                    source.close()
+                name, source = file, store.open_input_file(f"{base}/{file}")
+            source.seek(start)
+            raw = source.read(end - start)
+            found = [parse(zlib.decompress(raw[at - start : at - start + length], 31)) for at, length in ranges]
+            if not with_payload:
+                for f in found:
+                    f["payload"] = None
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types, strict=True)], names=names)
+        if source is not None:
+            source.close()
 
     return wanted.mapInArrow(run, RECORD)
 
