@@ -14,7 +14,9 @@ then files with directories, so a directory of any size is an ordinary join.
 Defined cases: null, empty or wordless text has no licence of its own; ties go
 to the template first by name; of several licence files in a directory the
 closest counts, then the first path; a null path has no directory and inherits
-nothing. Repeated rows each get a row. Texts are read whole.
+nothing. Repeated rows each get a row. Texts of any length are read whole. An
+empty table gives an empty one; other columns are read only if they are to be
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from veilgrain.workspace import Workspace, read_table
 MIN_HEADER, MIN_FILE = 0.6, 0.6
 #: A whole text counts as a notice only if it holds little else.
 MIN_NOTICE_FILE = 0.9
+#: What a scan adds to a file; kept columns of these names give way.
+RESULTS = ("license", "origin", "score")
 
 # Notices by which the licences are told, under their SPDX names.
 TEMPLATES = {
@@ -138,16 +142,18 @@ class Matcher:
 
 
 def own_licenses(files: DataFrame, ws: Workspace, path_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, path, header and whole-file licence with cosine."""
+    """(f: path and kept columns, j: header and whole-file licence with cosine, nulls where no licence word occurs)."""
     vector = "struct<terms:array<string>,weights:array<double>,rest:double>"
-    rows = files.select(F.struct(path_col, *keep).alias("f"), F.col(text_col).alias("text"))
+    carried = F.struct(F.col(path_col).alias("path"), *([F.struct(*keep).alias("keep")] if keep else []))
+    rows = files.select(carried.alias("f"), F.col(text_col).alias("text"))
     read = map_texts(rows, "f", "text", lambda: read_text, f"present array<string>, sentences array<{vector}>, whole {vector}, spdx string")
     read = ws.write(read, "read")
     counts = read.select(F.explode("present").alias("t")).groupBy("t").count()  # at most a row for each template term
     matcher = Matcher({r["t"]: r["count"] for r in counts.collect()}, read.count())
     shared = files.sparkSession.sparkContext.broadcast(matcher)
+    result = "struct<license:string,score:double,file_license:string,file_score:double>"
 
-    @F.udf("struct<license:string,score:double,file_license:string,file_score:double>", useArrow=True)
+    @F.udf(result, useArrow=True)
     def judge(sentences, whole, spdx):
         best, name = max((shared.value.best(s) for s in sentences), key=lambda s: s[0], default=(0.0, None))
         if spdx:
@@ -158,30 +164,28 @@ def own_licenses(files: DataFrame, ws: Workspace, path_col: str, text_col: str,
             "file_license": file_name, "file_score": file_score,
         }
 
-    some = read.filter("whole IS NOT NULL").select("f", judge("sentences", "whole", "spdx").alias("j")).select("f.*", "j.*")
-    nulls = [F.lit(None).cast(t).alias(n) for n, t in (("license", "string"), ("score", "double"), ("file_license", "string"), ("file_score", "double"))]
-    return some.unionByName(read.filter("whole IS NULL").select("f.*", *nulls))
+    some = read.filter("whole IS NOT NULL").select("f", judge("sentences", "whole", "spdx").alias("j"))
+    return some.unionByName(read.filter("whole IS NULL").select("f", F.lit(None).cast(result).alias("j")))
 
 
 def scan_licenses(files: DataFrame, ws: Workspace, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, *keep, license, origin, score): origin is ``own``, ``inherited`` or null."""
-    found = ws.write(own_licenses(files, ws, path_col, text_col, list(keep)), "own")
-    where = F.regexp_replace(path_col, "/[^/]*$", "")
-    found = found.withColumn("_dir", F.when(F.col(path_col).contains("/"), where))
-    named = found.filter("file_license IS NOT NULL AND _dir IS NOT NULL")
-    first = named.groupBy("_dir", "file_score").agg(F.min_by("file_license", path_col).alias("file_license"))
-    by_dir = first.groupBy("_dir").agg(F.max_by("file_license", "file_score").alias("from_above")).withColumnRenamed("_dir", "_above")
+    keep = [c for c in keep if c not in (path_col, *RESULTS)]
+    found = ws.write(own_licenses(files, ws, path_col, text_col, keep), "own")
+    found = found.select("f", "j.*", F.when(F.col("f.path").contains("/"), F.regexp_replace("f.path", "/[^/]*$", "")).alias("dir"))
+    named = found.filter("file_license IS NOT NULL AND dir IS NOT NULL").groupBy("dir", "file_score").agg(F.min_by("file_license", "f.path").alias("file_license"))
+    by_dir = named.groupBy(F.col("dir").alias("above")).agg(F.max_by("file_license", "file_score").alias("from_above"))
     # Every distinct directory with itself and all above it: /a/b -> /a/b, /a and the root ''.
-    steps = F.split("_dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("_above")))
-    dirs = found.select("_dir").filter("_dir IS NOT NULL").distinct().select("_dir", F.explode(above).alias("a")).select("_dir", "a.*")
-    nearest = dirs.join(by_dir, "_above").groupBy("_dir").agg(F.max_by("from_above", "depth").alias("from_above"))
-    nearest = ws.write(nearest.withColumnRenamed("_dir", "_at"), "nearest")
-    joined = found.join(nearest, found["_dir"] == nearest["_at"], "left")
+    steps = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("above")))
+    dirs = found.select("dir").filter("dir IS NOT NULL").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.*")
+    nearest = ws.write(dirs.join(by_dir, "above").groupBy("dir").agg(F.max_by("from_above", "depth").alias("from_above")), "nearest")
+    joined = found.join(nearest, "dir", "left")
     own = F.coalesce("file_license", "license")  # a whole text says more than a sentence in it
     origin = F.when(own.isNotNull(), "own").when(F.col("from_above").isNotNull(), "inherited")
     score = F.when(own.isNotNull(), F.greatest("score", "file_score"))
-    return joined.select(path_col, *keep, F.coalesce(own, "from_above").alias("license"), origin.alias("origin"), score.alias("score"))
+    kept = [F.col(f"f.keep.{c}").alias(c) for c in keep]
+    return joined.select(F.col("f.path").alias(path_col), *kept, F.coalesce(own, "from_above").alias("license"), origin.alias("origin"), score.alias("score"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
