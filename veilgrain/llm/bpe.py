@@ -10,14 +10,15 @@ The ids are those of the ``tokenizers`` library for the same file.
 
 Defined cases: a null text counts as empty and gives no ids; decoding no ids
 (or null) gives the empty text; bytes that are not UTF-8 decode to U+FFFD. Texts are
-never cut. Words over ``LONG_WORD`` characters are encoded but not cached.
+never cut. Words over ``LONG_WORD`` characters are encoded but not cached. An
+empty table gives an empty one, repeated rows a row each, other columns stay.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import chain
@@ -177,11 +178,8 @@ def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, li
             texts, size, start = [], 0, k + 1
 
 
-def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with a column of ids; all other columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    out = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType(), False))])
-    at = docs.columns.index(text_col)
+def _encoder(shared, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with a last column of the ids of the texts in column ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -190,9 +188,46 @@ def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
                 ids = encoder.encode(texts)
                 offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=out.names)
+                yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*(f"c{k}" for k in range(rows.num_columns)), "ids"])
+
+    return run
+
+
+def _decoder(shared, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with a last column of the texts of the ids in column ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = shared.value.tokens.__getitem__
+        for batch in batches:
+            texts = []
+            for ids in batch.column(at):
+                found = ids.values.to_numpy().tolist() if ids.is_valid else ()
+                texts.append(b"".join(map(token, found)).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*(f"c{k}" for k in range(batch.num_columns)), "text"])
 
-    return docs.mapInArrow(run, out)
+    return run
+
+
+def _mapped(frame: DataFrame, out: StructType, *steps: Callable) -> DataFrame:
+    """``steps`` one after the other in one Python worker, the columns named as ``out`` says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names=out.names)
+
+    return frame.mapInArrow(run, out)
+
+
+def _ids_field(name: str) -> StructField:
+    return StructField(name, ArrayType(IntegerType(), False))
+
+
+def encode_beside(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with a column of ids; all other columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return _mapped(docs, StructType([*docs.schema.fields, _ids_field(ids_col)]), _encoder(shared, docs.columns.index(text_col)))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,19 +238,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; all other columns stay."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    at = encoded.columns.index(ids_col)
     out = StructType([*encoded.schema.fields, StructField(text_col, StringType())])
+    return _mapped(encoded, out, _decoder(shared, encoded.columns.index(ids_col)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.tokens.__getitem__
-        for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                found = ids.values.to_numpy().tolist() if ids.is_valid else ()
-                texts.append(b"".join(map(token, found)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=out.names)
 
-    return encoded.mapInArrow(run, out)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of every text and the text decoded from these ids, in one pass through one worker a core."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    out = StructType([*docs.schema.fields, _ids_field(ids_col), StructField(decoded_col, StringType())])
+    return _mapped(docs, out, _encoder(shared, docs.columns.index(text_col)), _decoder(shared, len(docs.columns)))
 
 
 def default_path() -> str:
@@ -226,11 +257,10 @@ def default_path() -> str:
 
 def op4_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     vocabulary = Vocabulary.load(tokenizer_path or default_path())
-    encoded = encode(read_table(spark, sf_dir, "documents"), vocabulary)
-    digests = encoded.select(
+    done = round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return done.select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode(digests, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
