@@ -7,6 +7,8 @@ Parquet in the shared folder and hands the stored table to the next.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +40,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of every whole text and a digest of the text decoded from them; columns of these names are replaced."""
+    """Adds the ids of every whole text, their number and a digest of the text decoded from them; columns of these names are replaced."""
     ensure_importable(spark)
-    docs = docs.drop("ids", "n_tokens", "decoded", "decoded_sha256")
-    vocabulary = bpe.Vocabulary.load(bpe.default_path())
-    ids = bpe.encode_beside(docs, vocabulary)
-    decoded = bpe.decode(ids, vocabulary)
-    return decoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = docs.drop("ids", "n_tokens", "decoded_sha256")
+    decoded = f"_decoded_{uuid.uuid4().hex}"  # a name that no column of the documents has
+    done = bpe.round_trip(docs, bpe.Vocabulary.load(bpe.default_path()), decoded_col=decoded)
+    return done.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 STAGES = [
