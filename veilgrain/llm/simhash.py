@@ -70,6 +70,8 @@ WIDE, WIDE_RADIUS, BANDS = 4, 64, 10
 SIMILAR = (4, 5)
 #: Times a group of candidates is dealt, bytes of shingles in a partition, and in one packed part of a spanning group.
 DEALS, SET_BYTES, SET_PART = 2, 16 << 20, 1 << 20
+#: Rows from which on a smaller group is cut as well, into so many parts at most.
+PART_ROWS, FEW_PARTS = 64, 32
 #: Buckets up to this size are compared pair by pair of neighbours, larger ones by search.
 SMALL = 48
 #: Queries that go against the planes together, and lanes in a block.
@@ -564,13 +566,15 @@ def exact_components(sets: DataFrame, ws: Workspace) -> DataFrame:
     unsettled = ws.write(main.filter("n > 1").select("key", "main"), "set_unsettled")
     if unsettled.limit(1).count():
         opened = whole.join(F.broadcast(unsettled), "key")
-        sides, parts = [], f"1 + _bytes div {SET_PART}"
+        sides = []
+        # Parts of SET_PART bytes; a group of a few hundred rows already goes to several tasks.
+        parts = F.expr(f"1 + greatest(sum(length(shingles)) div {SET_PART}, least(count(1) div {PART_ROWS}, {FEW_PARTS}))").alias("_parts")
         for name, side in (("asked", opened.filter("label <> main")), ("others", opened)):
-            size = ws.write(side.groupBy("key").agg(F.sum(F.length("shingles")).alias("_bytes")), f"set_{name}_bytes")
-            side = side.join(F.broadcast(size), "key").withColumn("part", F.expr(f"pmod(xxhash64(node), {parts})"))
+            size = ws.write(side.groupBy("key").agg(parts), f"set_{name}_parts")
+            side = side.join(F.broadcast(size), "key").withColumn("part", F.expr("pmod(xxhash64(node), _parts)"))
             sides.append(_packed_sets(side.repartition("key", "part").sortWithinPartitions("key", "part"), name))
         # Each packed part of stragglers is sent to every part of its group, by group and part.
-        asked = sides[0].drop("part").join(F.broadcast(size), "key").withColumn("part", F.explode(F.expr(f"sequence(0L, _bytes div {SET_PART})")))
+        asked = sides[0].drop("part").join(F.broadcast(size), "key").withColumn("part", F.explode(F.expr("sequence(0L, _parts - 1)")))
         pairs = asked.join(sides[1], ["key", "part"]).select("asked", "others")
         pairs = pairs.repartition(F.xxhash64("asked.nodes", "others.nodes"))
         links = links.unionByName(ws.write(pairs.mapInArrow(_cross_sets, "a long, b long"), "set_cross"))
