@@ -193,3 +193,32 @@ def test_seeded_draws_match_their_columns(spark):
 
     row = spark.range(1).select(hashing.uniform(42, "b", 3, "x").alias("u"), hashing.laplace(hashing.uniform(42, "b", 3, "x"), 0.7).alias("l")).first()
     assert row["u"] == Draws(42, "b").uniform(3, "x") and row["l"] == pytest.approx(Draws(42, "b").laplace(0.7, 3, "x"), rel=1e-12)
+
+
+def test_models_are_saved_and_loaded_in_workers(spark, public, tmp_path):
+    model = MarkovModel.learn(public, Workspace(spark, "t"), 12)
+    model.save(spark, f"file://{tmp_path}/m")
+    back = MarkovModel.load(spark, f"file://{tmp_path}/m")
+    assert back.tokens == model.tokens and all(np.array_equal(back.row(k), model.row(k)) for k in range(len(model.tokens)))
+    tokens, pairs = model.tokens, model.pairs
+    lazy = generation.LazyModel("m", lambda: MarkovModel(tokens, pairs), needs_prompts=False)
+    made, _ = PrivateTextEngine("agnews", SMALL, lazy).generate(examples(spark), None, Workspace(spark, "t"))
+    same, _ = PrivateTextEngine("agnews", SMALL, model).generate(examples(spark), None, Workspace(spark, "t"))
+    assert tokens_of(made) == tokens_of(same)
+
+
+def test_tokens_are_of_any_script(spark, tmp_path):
+    public = spark.createDataFrame([("Größe größe über das 2. Haus, слово",)], "text string")
+    words = [r["token"] for r in generation.vocabulary(public, 10).collect()]
+    assert {"größe", "über", "das", "haus", "слово"} <= set(words)
+    model = MarkovModel.learn(public, Workspace(spark, "t"), 10)
+    assert model.backend(Batch("b", ["GRÖSSE слово"], [1])).pairs[0][model.index["слово"]] == {0: 1}
+
+
+def test_a_neural_classifier_learns(spark):
+    rows = examples(spark, 120).withColumn("label", F.col("label") % 3)
+    rows = rows.withColumn("text", F.element_at(F.array(F.lit("red apple round"), F.lit("fast blue car"), F.lit("old stone house")), F.col("label") + 1))
+    predicted, losses = evaluation.train_classifier(rows, rows, kind="neural", epochs=40)
+    assert evaluation.scores(predicted).first()["accuracy"] == 1.0 and losses[-1] < losses[0]
+    with pytest.raises(ValueError, match="neural"):
+        evaluation.train_classifier(rows, rows, kind="other")

@@ -79,21 +79,36 @@ def icl_evaluate(
     return answers.select("example_id", "label", "completion", pred.alias("pred"))
 
 
-def train_classifier(train: DataFrame, test: DataFrame, features: int = 1 << 14, epochs: int = 20) -> tuple[DataFrame, list[float]]:
-    """Train on (text, label), predict ``test``: (its columns, pred), and the loss after each iteration."""
+def train_classifier(train: DataFrame, test: DataFrame, features: int | None = None, epochs: int = 20, kind: str = "linear") -> tuple[DataFrame, list[float]]:
+    """Train on (text, label), predict ``test``: (its columns, pred), and the loss after each iteration.
+
+    ``linear`` is a logistic regression on TF-IDF, ``neural`` a network with one
+    hidden layer on them (fewer features; labels must be 0, 1, ...).
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
+    columns = {"featuresCol": "_features", "labelCol": "label", "predictionCol": "_pred"}
+    if kind == "linear":
+        size = features or 1 << 14
+        last = LogisticRegression(**columns, maxIter=epochs, regParam=0.01)
+    elif kind == "neural":
+        size = features or 1 << 9
+        classes = train.agg(F.max("label")).first()[0] + 1
+        last = MultilayerPerceptronClassifier(**columns, layers=[size, 32, max(2, classes)], maxIter=epochs, seed=42)
+    else:
+        raise ValueError(f"unknown classifier {kind!r}; choose linear or neural")
     stages = [
         RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size),
         IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
-        LogisticRegression(featuresCol="_features", labelCol="label", predictionCol="_pred", maxIter=epochs, regParam=0.01),
+        last,
     ]
     model = Pipeline(stages=stages).fit(train)
     out = model.transform(test).select(*test.columns, F.col("_pred").cast("int").alias("pred"))
-    return out, list(model.stages[-1].summary.objectiveHistory)
+    summary = model.stages[-1].summary
+    return out, list((summary() if callable(summary) else summary).objectiveHistory)
 
 
 def load_synthetic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +122,11 @@ def load_synthetic(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def evaluate(
     mode: str, name: str, train: DataFrame, test: DataFrame, source: str = "synthetic", complete: Callable[[list[str]], list[str]] | None = None,
-    num_shots: int = 4, max_test: int | None = None, compat: bool = False,
+    num_shots: int = 4, max_test: int | None = None, compat: bool = False, kind: str = "linear",
 ) -> DataFrame:
     """One row of scores of what ``train`` teaches about ``test`` (example_id, text, label).
 
-    ``finetune`` trains a classifier on (text, label); ``icl`` takes few-shot
+    ``finetune`` trains a classifier of ``kind`` on (text, label); ``icl`` takes few-shot
     examples from ``train`` and asks ``complete``. ``source`` says where the
     training rows come from: ``synthetic``, or ``real`` for the baseline.
     """
@@ -119,7 +134,7 @@ def evaluate(
     if source not in ("synthetic", "real"):
         raise ValueError(f"unknown source {source!r}; choose synthetic or real")
     if mode == "finetune":
-        predicted, _ = train_classifier(train.select("text", "label"), test.select("example_id", "text", "label"))
+        predicted, _ = train_classifier(train.select("text", "label"), test.select("example_id", "text", "label"), kind=kind)
     elif mode == "icl":
         if complete is None:
             raise ValueError("few-shot evaluation needs a completion function")

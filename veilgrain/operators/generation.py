@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import secrets
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -24,7 +23,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.functions.privacy import epsilon_value, rho_token_value
@@ -33,7 +33,9 @@ from veilgrain.functions.privacy import epsilon_value, rho_token_value
 MOST_TOKENS, MOST_PAIRS = 1 << 16, 5_000_000
 
 EOS, UNKNOWN = "<eos>", "<unk>"
-_TOKEN = re.compile("[a-z]+")
+#: A token is a run of letters of any script, in lower case.
+TOKEN = r"\p{L}+"
+_TOKEN = regex.compile(TOKEN)
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ class Model(Protocol):
 
 def vocabulary(public_texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """(token_id, token, n) of the ``size`` - 2 most frequent public tokens after <eos> and <unk>; private rows never shape it."""
-    tokens = public_texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    tokens = public_texts.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TOKEN), F.lit(0))).alias("token"))
     top = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(size - 2)
     listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("token"), F.col("n")))).alias("t"))
     numbered = listed.select(F.posexplode("t").alias("at", "s")).select((F.col("at") + 2).cast("int").alias("token_id"), "s.token", "s.n")
@@ -106,7 +108,7 @@ def vocabulary(public_texts: DataFrame, size: int, text_col: str = "text") -> Da
 
 def bigrams(texts: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
     """(prev, token, n) over all texts, each between two <eos>; unknown tokens are <unk>."""
-    words = texts.select(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    words = texts.select(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("w"))
     framed = words.select(F.concat(F.array(F.lit(EOS)), "w", F.array(F.lit(EOS))).alias("w"))
     pairs = framed.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
     counts = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
@@ -141,8 +143,25 @@ class MarkovModel:
             raise ValueError(f"a vocabulary of {vocab_size} is over {MOST_TOKENS}")
         vocab = ws.write(vocabulary(public_texts, vocab_size), "vocabulary")
         counts = ws.write(bigrams(public_texts, vocab), "bigrams")
-        if counts.count() > MOST_PAIRS:
-            raise ValueError(f"over {MOST_PAIRS} pairs; take a smaller vocabulary")
+        return cls._held(vocab, counts, alpha, beta)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model below ``path`` as two tables; an earlier one is not overwritten."""
+        tokens = spark.createDataFrame(list(enumerate(self.tokens)), "token_id int, token string")
+        tokens.coalesce(1).write.mode("errorifexists").parquet(f"{path}/tokens")
+        rows = [(prev, int(t), int(n)) for prev, (at, counts) in self.pairs.items() for t, n in zip(at, counts, strict=True)]
+        spark.createDataFrame(rows, "prev int, token int, n long").write.mode("errorifexists").parquet(f"{path}/pairs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, alpha: float = 0.5, beta: float = 2.0) -> MarkovModel:
+        """A model that was saved; its size is checked before anything is fetched."""
+        tokens, pairs = spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/pairs")
+        return cls._held(tokens, pairs, alpha, beta)
+
+    @classmethod
+    def _held(cls, vocab: DataFrame, counts: DataFrame, alpha: float, beta: float) -> MarkovModel:
+        if vocab.count() > MOST_TOKENS or counts.count() > MOST_PAIRS:
+            raise ValueError(f"over {MOST_TOKENS} tokens or {MOST_PAIRS} pairs; take a smaller vocabulary")
         pairs: dict[int, list] = {}
         for r in counts.orderBy("prev", "token").collect():
             pairs.setdefault(r["prev"], []).append((r["token"], r["n"]))
@@ -161,6 +180,25 @@ class MarkovModel:
         return MarkovBackend(self, batch.texts, batch.counts)
 
 
+_loaded: dict[str, Model] = {}
+
+
+class LazyModel:
+    """A model too large to send: every worker loads it once, from a place that all of them reach, and keeps it.
+
+    ``load`` is a function without arguments, such as one that opens weights in
+    a shared folder; ``name`` tells models of one worker apart.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Model], needs_prompts: bool = True):
+        self.name, self.load, self.needs_prompts = name, load, needs_prompts
+
+    def backend(self, batch: Batch) -> LogitBackend:
+        if self.name not in _loaded:
+            _loaded[self.name] = self.load()
+        return _loaded[self.name].backend(batch)
+
+
 class MarkovBackend:
     """Public bigram logits, raised for each private text by beta * ln(1 + its own bigram count)."""
 
@@ -337,14 +375,18 @@ def generate_dataset(bucketed: DataFrame, descriptors: DataFrame, model: Model,
         name = F.col("label_name")
         rows = rows.withColumn("prompt", prompts.private(name, F.col("text"))).withColumn("public_prompt", prompts.public(name))
         columns += ["prompt", "public_prompt"]
-    shared = bucketed.sparkSession.sparkContext.broadcast(model)
+    if isinstance(model, LazyModel):
+        held = lambda: model  # noqa: E731  a function and a name, which go along with the tasks
+    else:
+        shared = bucketed.sparkSession.sparkContext.broadcast(model)
+        held = lambda: shared.value
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("text")
         of = group["batch_id"].iloc[0]
         texts = group["text"].tolist(), group["n"].tolist()
         batch = Batch(of, *texts, group["prompt"].tolist(), group["public_prompt"].iloc[0]) if "prompt" in group else Batch(of, *texts)
-        backend = shared.value.backend(batch)
+        backend = held().backend(batch)
         out = [
             (of, k, backend.decode(list(e.ids)), list(e.ids), e.n_private, e.n_public, len(e.ids))
             for k, e in enumerate(generate_batch(backend, draws_of(s, of), s, mechanism))

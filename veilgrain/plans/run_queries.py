@@ -217,11 +217,12 @@ k AS (SELECT class, count(*) FILTER (label = class AND pred = class) AS hit, cou
       FROM c, j GROUP BY class),
 r AS (SELECT class, CASE WHEN q > 0 THEN hit / q ELSE 0.0 END AS precision, CASE WHEN t > 0 THEN hit / t ELSE 0.0 END AS recall,
       CASE WHEN t + q > 0 THEN 2 * hit / (t + q) ELSE 0.0 END AS f1, t AS support FROM k)"""
-_VOCAB = f"""words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark),
+TOKEN = generation.TOKEN
+_VOCAB = f"""words AS (SELECT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM benchmark),
 top AS (SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {VOCABULARY - 2}),
 vocab AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id, token, n FROM top
           UNION ALL SELECT 0, '<eos>', 0 UNION ALL SELECT 1, '<unk>', 0)"""
-_BIGRAMS = f"""{_VOCAB}, framed AS (SELECT list_concat(list_concat(['<eos>'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')), ['<eos>']) AS w FROM benchmark),
+_BIGRAMS = f"""{_VOCAB}, framed AS (SELECT list_concat(list_concat(['<eos>'], regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')), ['<eos>']) AS w FROM benchmark),
 pairs AS (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM framed),
 grams AS (SELECT coalesce(x.token_id, 1) AS prev, coalesce(y.token_id, 1) AS token, count(*) AS n
           FROM pairs LEFT JOIN vocab x ON x.token = a LEFT JOIN vocab y ON y.token = b GROUP BY ALL)"""
@@ -259,7 +260,7 @@ def walk_sql(budget: int = SETTINGS.max_private_tokens) -> str:
 totals AS (SELECT prev, sum(n) AS total FROM grams GROUP BY prev),
 pub AS MATERIALIZED (SELECT a.token_id AS prev, b.token_id AS token, ln((coalesce(g.n, 0) + {ALPHA}) / (coalesce(total, 0) + {ALPHA} * (SELECT count(*) FROM vocab))) AS z
   FROM vocab a CROSS JOIN vocab b LEFT JOIN grams g ON g.prev = a.token_id AND g.token = b.token_id LEFT JOIN totals t ON t.prev = a.token_id),
-own_words AS (SELECT example_id, list_concat(list_concat(['<eos>'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')), ['<eos>']) AS w FROM ex),
+own_words AS (SELECT example_id, list_concat(list_concat(['<eos>'], regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}')), ['<eos>']) AS w FROM ex),
 own_pairs AS (SELECT example_id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:len(w)]) AS b FROM own_words),
 own AS (SELECT example_id, coalesce(x.token_id, 1) AS prev, coalesce(y.token_id, 1) AS token, count(*) AS n
   FROM own_pairs LEFT JOIN vocab x ON x.token = a LEFT JOIN vocab y ON y.token = b GROUP BY ALL),
