@@ -304,8 +304,9 @@ ORACLE_SQL = {
     "descriptor_recovery": f"WITH {BATCHES_CTE} SELECT {_FIELDS}, batch_index % 3 <> 0 AS committed FROM described WHERE batch_index % 3 <> 0 OR batch_index % 7 <> 1",
     "union_resumed": f"""WITH {BATCHES_CTE} SELECT CASE WHEN batch_index % 3 <> 0 THEN 'resumed' ELSE 'new' END AS origin, b.label, count(*) AS n,
         CAST(sum(length(text)) AS BIGINT) AS tokens FROM bucketed b JOIN grouped g USING (label, bucket) JOIN described d USING (batch_id) GROUP BY ALL""",
-    "metadata_compat": """SELECT * FROM (VALUES ('same', true, ''), ('other_path', true, ''), ('other_seed', false, 'top_k_vocab,seed'),
-        ('gate', false, 'svt_noise')) t("case", compatible, differences)""",
+    "metadata_compat": """SELECT "case", d = '' AS compatible, d AS differences FROM (SELECT "case", concat_ws(',', CASE WHEN noise IS DISTINCT FROM NULL THEN 'svt_noise' END,
+        CASE WHEN k IS DISTINCT FROM 0 THEN 'top_k_vocab' END, CASE WHEN seed IS DISTINCT FROM 42 THEN 'seed' END) AS d
+        FROM (VALUES ('same', NULL, 0, 42), ('other_path', NULL, 0, 42), ('other_seed', NULL, 5, 7), ('gate', 0.2, 0, 42)) t("case", noise, k, seed))""",
     "jsonl_roundtrip": f"""WITH {BATCHES_CTE} SELECT batch_id, batch_index, b.label, text, CAST(length(text) AS INTEGER) AS num_total_tokens, d.batch_size AS source_batch_size
         FROM bucketed b JOIN grouped g USING (label, bucket) JOIN described d USING (batch_id) WHERE batch_index % 3 <> 0""",
     "accuracy": f"WITH {_J} SELECT count(*) AS num_test, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END), 9) AS accuracy FROM j",
