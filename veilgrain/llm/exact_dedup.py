@@ -38,16 +38,10 @@ ROWS_PER_BUCKET = 1_000_000
 class DigestIndex:
     """A persistent table (digest, keep_id, batch), bucketed and sorted by digest; made empty if it is not there."""
 
-    SCHEMA = "digest binary, keep_id long, batch string"
-
     def __init__(self, spark: SparkSession, table: str, buckets: int = 16):
         self.spark, self.table, self.buckets = spark, table, buckets
-        if not spark.catalog.tableExists(table):
-            self._save(spark.createDataFrame([], self.SCHEMA))
-
-    def _save(self, rows: DataFrame) -> None:
-        dealt = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        columns = "digest BINARY, keep_id BIGINT, batch STRING"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -58,7 +52,9 @@ class DigestIndex:
 
     def append(self, groups: DataFrame, batch: str) -> None:
         """Add the groups (digest, keep_id) whose digest is not in the index yet."""
-        self._save(self.missing(groups).select("digest", "keep_id", F.lit(batch).alias("batch")))
+        new = self.missing(groups).select("digest", "keep_id", F.lit(batch).alias("batch"))
+        dealt = new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
