@@ -183,7 +183,7 @@ def test_long_texts_take_time_in_proportion(spark, name):
 
 
 def test_no_type_runs_out(spark):
-    """Ten addresses of one letter each compete for 26; a type whose room is full grows."""
+    """36 addresses of one character compete for as few others; a type whose room is full grows."""
     values = [("ssn", f"9{k:08d}", None) for k in range(30)] + [("ip", f"10.0.0.{k}", None) for k in range(5)]
     frame = spark.createDataFrame(values, "type string, canon string, form string")
     drawn = frame.select(*(pii._drawn("k", frame["type"], frame["canon"], frame["form"], pii.GROWN + 3).alias("s"),)).collect()
