@@ -222,3 +222,22 @@ def test_a_neural_classifier_learns(spark):
     assert evaluation.scores(predicted).first()["accuracy"] == 1.0 and losses[-1] < losses[0]
     with pytest.raises(ValueError, match="neural"):
         evaluation.train_classifier(rows, rows, kind="other")
+
+
+def test_command_line(spark, tmp_path):
+    from veilgrain.__main__ import main
+
+    rows = [(f"red apple {k}", 0) for k in range(30)] + [(f"fast car {k}", 1) for k in range(30)]
+    for split in ("train", "test"):
+        spark.createDataFrame(rows, "text string, label int").write.parquet(f"{tmp_path}/data/{split}")
+    spark.createDataFrame([("red apple fast car",)], "text string").write.parquet(f"{tmp_path}/public")
+    common = ["--dataset", "imdb", "--data", f"{tmp_path}/data"]
+    run = ["generate", *common, "--public", f"{tmp_path}/public", "--epsilon", "40", "--out", f"file://{tmp_path}/run", "--batch-size", "10", "--svt-noise", "0.5", "--seed", "3", "--vocabulary", "8"]
+    first = main(run, spark)
+    assert first["stats"]["num_examples"] > 0 and first["realized_epsilon"] <= first["report"]["epsilon"] + 1e-9
+    assert main([*run, "--resume", "--waves", "2"], spark)["new_batches"] == 0
+    with pytest.raises(SystemExit):
+        main(["generate", *common], spark)
+    found = main(["evaluate", *common, "--out", f"{tmp_path}/result"], spark)
+    assert found["accuracy"] == 1.0 and found["source"] == "real"
+    assert main(["generate", *common, "--no-svt", "--public", f"{tmp_path}/public", "--epsilon", "9", "--out", f"file://{tmp_path}/run2", "--batch-size", "10"], spark)["report"]["svt_noise"] is None
