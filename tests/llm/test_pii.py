@@ -205,3 +205,15 @@ def test_defined_cases(spark):
     found = run(spark, rows)
     assert sorted((r["doc_id"] or 0, len(r["entities"])) for r in found) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 1), (2, 0)]
     assert len({r["text"] for r in found}) == 4 and run(spark, [])== []
+
+
+def test_check_digits_of_ibans_stay_right(spark):
+    values = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE88 3704 0044 0532 0130 00"]
+    found = [r["text"] for r in run(spark, list(enumerate(values)))]
+
+    def rest(iban):
+        moved = iban.replace(" ", "")[4:] + iban[:4]
+        return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+    assert [rest(v) for v in values[:2]] == [1, 1] == [rest(v) for v in found[:2]] and found[:2] != values[:2]
+    assert all(f[:2] == v[:2] and [c == " " for c in f] == [c == " " for c in v] for f, v in zip(found, values))

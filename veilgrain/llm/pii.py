@@ -10,7 +10,8 @@ Every distinct value gets one replacement that is a keyed hash of its canonical
 form (so all mentions of a value, however punctuated, cased or titled, stay the
 same person's), of the same type and format: digits stay digits, letters stay
 letters of the same script and case, punctuation and country prefixes stay, a
-card that passes the Luhn check still does. A word of a name has one
+card that passes the Luhn check or an IBAN with the right check digits still
+does. A word of a name has one
 replacement wherever it stands; whether that looks like a given name or a
 surname, and of which gender, is what most of its mentions in all texts say.
 
@@ -139,6 +140,15 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), term), F.lit(0), lambda a, b: a + b)
 
 
+def _mod_97(value: Column) -> Column:
+    """Letters and digits read as one number (A is 10), modulo 97."""
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), F.lit(0), step)
+
+
 def _like(value: Column, h: Column) -> Column:
     """Each ASCII letter and digit of ``value`` replaced by one of its kind; all else stays."""
     chars = F.filter(F.split(value, ""), lambda c: c != "")
@@ -191,7 +201,9 @@ def _from_digest(h: Column, key: str, kind: Column, canon: Column, form: Column,
     # A short local part has little room: later draws add digits to it.
     grown = F.substring(digits, 1, attempt if attempt > 2 else 0)
     email = F.concat(_like(local, h), grown, F.lit("@h"), host, F.lit(".example."), F.substring_index(domain, ".", -1))
-    iban = F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), n), h))
+    country, account = F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), n), h)
+    valid = F.lpad((98 - _mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_mod_97(F.concat(F.substring(canon, F.lit(5), n), F.substring(canon, 1, 4))) == 1, valid).otherwise(F.substring(digits, 40, 2)), account)
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))
     out = F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn)
     return F.when(kind == "email", email).when(kind == "name", _named(h, form, canon, F.lit(attempt))).otherwise(F.concat(out, more))
