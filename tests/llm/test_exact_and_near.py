@@ -322,3 +322,17 @@ def test_pairs_of_min_hashes_find_similar_sets():
         return hits / times
 
     assert met(160, 20, 1000) > 0.995 and met(20, 90, 1000) < 0.2
+
+
+def test_components_are_merged(spark):
+    """New links between components, within one, to new nodes, and between new nodes."""
+    rng = random.Random(7)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
+    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    schema = "a long, b long"
+    ws = Workspace(spark, "t")
+    found = components.connected_components(spark.createDataFrame(first, schema), ws, "x")
+    merged = {r["node"]: r["root"] for r in components.merged_components(found, spark.createDataFrame(more, schema), ws, "y").collect()}
+    roots = union_find(300, first + more)
+    assert {k: r for k, r in enumerate(roots) if r != k or k in merged} == merged
+    assert components.merged_components(found, spark.createDataFrame([], schema), ws, "z").count() == found.count()

@@ -56,3 +56,20 @@ def connected_components(edges: DataFrame, ws: Workspace, name: str = "cc") -> D
             labels = ws.write(labels, f"{name}_{step}_labels")
         step += 1
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def merged_components(found: DataFrame, more: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(node, root) once the links ``more`` (a, b) are added to the components ``found`` (node, root).
+
+    Only the components that ``more`` joins are worked on again.
+    """
+    ends = more
+    for end in ("a", "b"):
+        at = found.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+        ends = ends.join(at, ends[end] == at["_at"], "left").withColumn(end, F.coalesce("_to", end)).drop("_at", "_to")
+    joined = connected_components(ws.write(ends, f"{name}_ends"), ws, name)
+    to = joined.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+    old = found.join(to, found["root"] == to["_at"], "left").select("node", F.coalesce("_to", "root").alias("root"))
+    # Nodes that had no link before stand for themselves among the ends.
+    new = joined.join(found.select("node"), "node", "left_anti")
+    return ws.write(old.unionByName(new), f"{name}_merged")

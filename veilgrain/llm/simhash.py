@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrain.llm.common import BROADCAST_IDS, map_texts, without_ids
-from veilgrain.llm.components import connected_components
+from veilgrain.llm.components import connected_components, merged_components
 from veilgrain.workspace import Workspace, read_table
 
 SEED = 42
@@ -346,11 +346,11 @@ def _packed(rows: DataFrame, words: int, name: str) -> DataFrame:
     return rows.select(*cast, *body).mapInArrow(pack, f"t long, key long, part long, {name} binary")
 
 
-def _finish_spanning(edge_rows: DataFrame, links: DataFrame, words: int, radius: int, ws: Workspace) -> DataFrame | None:
-    """Links that buckets cut by a partition boundary still lack; None if there can be none."""
+def _finish_spanning(edge_rows: DataFrame, found: DataFrame, words: int, radius: int, ws: Workspace) -> DataFrame | None:
+    """Links that buckets cut by a partition boundary still lack in the components ``found``; None if there can be none."""
     spanning = edge_rows.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("t", "key")
     spanning = F.broadcast(ws.write(spanning, "spanning_keys"))  # fewer than partitions
-    labels = connected_components(links, ws, "first").withColumnRenamed("root", "label")
+    labels = found.withColumnRenamed("root", "label")
     rows = edge_rows.join(spanning, ["t", "key"]).join(labels, "node", "left")
     fields = [f"f{k}" for k in range(words)]
     rows = ws.write(rows.select("t", "key", "part", "node", F.coalesce("label", "node").alias("label"), *fields), "spanning")
@@ -379,10 +379,9 @@ def components_of(rows: DataFrame, nodes: int, words: int, radius: int, ws: Work
     compared = dealt.mapInArrow(_comparer(words, radius), f"node long, b long, t int, key long, part int, {fields}")
     compared = ws.write(compared, "compared")
     links = compared.filter("b IS NOT NULL").select(F.col("node").alias("a"), "b")
-    more = _finish_spanning(compared.filter("b IS NULL").drop("b"), links, words, radius, ws)
-    if more is not None:
-        links = links.unionByName(ws.write(more, "cross"))
-    return connected_components(links, ws, "all")
+    found = connected_components(links, ws, "first")
+    more = _finish_spanning(compared.filter("b IS NULL").drop("b"), found, words, radius, ws)
+    return found if more is None else merged_components(found, more, ws, "all")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -559,26 +558,27 @@ def exact_components(sets: DataFrame, ws: Workspace) -> DataFrame:
     spanning = edge.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key").distinct()
     # A group is settled if it is whole in one deal; the rest, fewer than partitions, go on with the rows of the first deal.
     spanning = F.broadcast(ws.write(spanning, "set_spanning_keys"))
-    labels = connected_components(links, ws, "set_first").withColumnRenamed("root", "label")
+    found = connected_components(links, ws, "set_first")
+    labels = found.withColumnRenamed("root", "label")
     whole = rows.filter("t = 0").join(spanning, "key").join(labels, "node", "left")
     whole = ws.write(whole.select("key", "node", F.coalesce("label", "node").alias("label"), "shingles"), "set_spanning")
     main = whole.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("n"))
     unsettled = ws.write(main.filter("n > 1").select("key", "main"), "set_unsettled")
-    if unsettled.limit(1).count():
-        opened = whole.join(F.broadcast(unsettled), "key")
-        sides = []
-        # Parts of SET_PART bytes; a group of a few hundred rows already goes to several tasks.
-        parts = F.expr(f"1 + greatest(sum(length(shingles)) div {SET_PART}, least(count(1) div {PART_ROWS}, {FEW_PARTS}))").alias("_parts")
-        for name, side in (("asked", opened.filter("label <> main")), ("others", opened)):
-            size = ws.write(side.groupBy("key").agg(parts), f"set_{name}_parts")
-            side = side.join(F.broadcast(size), "key").withColumn("part", F.expr("pmod(xxhash64(node), _parts)"))
-            sides.append(_packed_sets(side.repartition("key", "part").sortWithinPartitions("key", "part"), name))
-        # Each packed part of stragglers is sent to every part of its group, by group and part.
-        asked = sides[0].drop("part").join(F.broadcast(size), "key").withColumn("part", F.explode(F.expr("sequence(0L, _parts - 1)")))
-        pairs = asked.join(sides[1], ["key", "part"]).select("asked", "others")
-        pairs = pairs.repartition(F.xxhash64("asked.nodes", "others.nodes"))
-        links = links.unionByName(ws.write(pairs.mapInArrow(_cross_sets, "a long, b long"), "set_cross"))
-    return connected_components(links, ws, "set_all")
+    if not unsettled.limit(1).count():
+        return found
+    opened = whole.join(F.broadcast(unsettled), "key")
+    sides = []
+    # Parts of SET_PART bytes; a group of a few hundred rows already goes to several tasks.
+    parts = F.expr(f"1 + greatest(sum(length(shingles)) div {SET_PART}, least(count(1) div {PART_ROWS}, {FEW_PARTS}))").alias("_parts")
+    for name, side in (("asked", opened.filter("label <> main")), ("others", opened)):
+        size = ws.write(side.groupBy("key").agg(parts), f"set_{name}_parts")
+        side = side.join(F.broadcast(size), "key").withColumn("part", F.expr("pmod(xxhash64(node), _parts)"))
+        sides.append(_packed_sets(side.repartition("key", "part").sortWithinPartitions("key", "part"), name))
+    # Each packed part of stragglers is sent to every part of its group, by group and part.
+    asked = sides[0].drop("part").join(F.broadcast(size), "key").withColumn("part", F.explode(F.expr("sequence(0L, _parts - 1)")))
+    pairs = asked.join(sides[1], ["key", "part"]).select("asked", "others")
+    pairs = pairs.repartition(F.xxhash64("asked.nodes", "others.nodes"))
+    return merged_components(found, pairs.mapInArrow(_cross_sets, "a long, b long"), ws, "set_all")
 
 
 def shingle_sets(docs: DataFrame, groups: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
